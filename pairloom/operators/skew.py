@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: A key is hot above this share of all rows, so a list of hot keys has at most 1 / share entries ...
@@ -87,3 +89,36 @@ def per_key_counts(rows: DataFrame, key: str, partner: str, positive: Column, he
     hot = two_levels(flagged.join(keys, key, "left_semi"))
     rest = two_levels(flagged.join(keys, key, "left_anti").repartition(F.col(key)))
     return hot.unionByName(rest)
+
+
+def key_hash(*keys: str) -> Column:
+    """64-bit hash of a key for the detection of hot keys: a collision can only make a key look hotter."""
+    return F.xxhash64(*keys)
+
+
+def with_group_min(rows: DataFrame, keys: Sequence[str], value: str, out: str, hot: list) -> DataFrame:
+    """``rows`` with ``out``, the least ``value`` among the rows of equal ``keys`` (null equals null).
+
+    ``hot`` holds key hashes. Ordinary keys take one shuffle and a window; rows of hot keys are reduced in two salted
+    levels to one row per key, which is broadcast, so they are never gathered.
+    """
+    if not hot:
+        return rows.withColumn(out, F.min(value).over(W.partitionBy(*keys)))
+    flag = is_hot(key_hash(*keys), hot)
+    rest = rows.filter(~flag).withColumn(out, F.min(value).over(W.partitionBy(*keys)))
+    hot_rows = rows.filter(flag)
+    least = (
+        hot_rows.groupBy(*keys, F.spark_partition_id().alias("__salt")).agg(F.min(value).alias(out)).groupBy(*keys).agg(F.min(out).alias(out))
+    )
+    least = least.select(*(F.col(k).alias(f"__{k}") for k in keys), out)
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys])
+    return rest.unionByName(hot_rows.join(F.broadcast(least), same).select(*rows.columns, out))
+
+
+def balanced_join(rows: DataFrame, table: DataFrame, key: str, hot: list) -> DataFrame:
+    """Inner join on ``key``; rows of the bounded list of hot keys meet a broadcast of their part of ``table``."""
+    if not hot:
+        return rows.join(table, key)
+    mine, theirs = is_hot(F.col(key), hot), is_hot(F.col(key), hot)
+    heavy = rows.filter(mine).join(F.broadcast(table.filter(theirs)), key)
+    return heavy.unionByName(rows.filter(~mine).join(table.filter(~theirs), key))
