@@ -25,7 +25,7 @@ class Unit:
 
 def place(units: list[Unit], shares: dict[str, float]) -> dict[str, str]:
     """Iterative stratification over whole units: the rarest outstanding label first, largest unit first, each into
-    the split that needs most of that label, then most rows; ties by the order of ``shares``."""
+    the split with room for half of it that needs most of that label, then most rows; ties by the order of ``shares``."""
     if not units:
         return {}
     width = len(units[0].labels)
@@ -43,7 +43,9 @@ def place(units: list[Unit], shares: dict[str, float]) -> dict[str, str]:
         rarest = min(labels, key=lambda i: outstanding[i])
         holders = sorted((u for u in waiting.values() if u.labels[rarest]), key=lambda u: (-u.labels[rarest], -sum(u.labels), u.name))
         for unit in holders:
-            split = max(need, key=lambda s: (need[s][rarest], sum(need[s])))
+            size = sum(unit.labels)
+            roomy = [s for s in need if sum(need[s]) >= size / 2] or list(need)
+            split = max(roomy, key=lambda s: (need[s][rarest], sum(need[s])))
             out[unit.name] = split
             need[split] = [a - b for a, b in zip(need[split], unit.labels, strict=True)]
             del waiting[unit.name]

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.accession import accession, accession_of, alphanumeric, decode_accession, encode_accession
 from ..plans.corpus_queries import acc_sql
 from ..session import load, materialize
-from . import calibrate, dedup
+from . import calibrate, dedup, mixture, spam, tokenize
 from .grouped_split import GroupedSplit
 from .overlap import CrossSplitOverlap
 from .stable_sample import stable_sample
@@ -181,6 +181,58 @@ def p7_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stable_sample(rows, "pair_id", "source_row_index", "ingested_at", chosen, pairs.count()).select("spec_name", "source_row_index", "pair_id")
 
 
+# --- p8: encoding of the whole corpus -----------------------------------------------------------------------------------
+
+
+def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenize.encode_documents(load(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+def p8_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per language: documents, tokens, and documents whose decoded ids are the text again."""
+    documents = load(spark, sf_dir, "documents").withColumn("digest", F.md5(F.coalesce("text", F.lit(""))))
+    encoded = tokenize.encode_documents(documents, "doc_id", "text", carry=["lang", "digest"])
+    decoded = tokenize.decode_documents(encoded, "doc_id", carry=["lang", "digest"])
+    same = F.md5("text") == F.col("digest")
+    return decoded.groupBy("lang").agg(
+        F.count(F.lit(1)).alias("n_documents"), F.sum("n_tokens").alias("n_tokens"), F.count_if(same).alias("n_same")
+    )
+
+
+# --- p9: mixing sources to target weights -------------------------------------------------------------------------------
+
+
+def _mixture(spark: SparkSession, sf_dir: str) -> mixture.Mixture:
+    documents = load(spark, sf_dir, "documents").withColumn("lang", F.coalesce("lang", F.lit("und")))
+    targets = load(spark, sf_dir, "mix_targets").collect()
+    shares = {t["source"]: (t["target_share"], t["max_repeats"]) for t in targets}
+    digest = documents.filter(F.col("source").isin(list(shares)) & (F.col("text") != "")).withColumn("digest", F.md5("text"))
+    counted = tokenize.encode_documents(digest, "doc_id", "text", counts=True, carry=["digest", "source", "lang"])
+    return mixture.Mixture(counted, shares, levels=("source", "lang"), seed=9, total_rows=documents.count())
+
+
+def p9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mixture(spark, sf_dir).selection()
+
+
+def p9_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mixture(spark, sf_dir).report()
+
+
+# --- p10: keyword-stuffed and link-list pages ---------------------------------------------------------------------------
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spam.spam_pages(load(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+def p10_coherence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: pairs of neighbouring words, their mean PMI, loose and repeated shares."""
+    scores = spam.coherence(load(spark, sf_dir, "documents"), "doc_id", "text")
+    rounded = [F.round(c, 6).alias(c) for c in ("mean_pmi", "loose", "repeated")]
+    return scores.select(F.col("doc").alias("doc_id"), "n_pairs", *rounded)
+
+
 _ALNUM = r"upper(regexp_replace({}, '[^\p{{L}}\p{{Nd}}]+', '', 'g'))"
 _P2 = rf"""
 with named as (select source_row_index as id, source, {acc_sql("protein_a")} as a, {acc_sql("protein_b")} as b from pairs),
@@ -217,7 +269,8 @@ def queries() -> dict:
     return {
         "p2_found": p2_found, "p2_report": p2_report, "p3_found": p3_found, "p3_sample": p3_sample, "p3_report": p3_report,
         "p5_found": p5_found, "p5_splits": p5_splits, "p5_report": p5_report, "p6_found": p6_found, "p6_records": p6_records,
-        "p7_sample": p7_sample,
+        "p7_sample": p7_sample, "p8_ids": p8_ids, "p8_roundtrip": p8_roundtrip, "p9_mix": p9_mix, "p9_report": p9_report,
+        "p10_found": p10_found, "p10_coherence": p10_coherence,
     }
 
 
