@@ -17,7 +17,8 @@ def alphanumeric(value: Column) -> Column:
 
 def accession_of(clean: Column) -> Column:
     """First accession in an already cleaned value, null if there is none."""
-    return F.nullif(F.regexp_extract(clean, ACCESSION, 0), F.lit(""))
+    # an array look-up, as nullif would evaluate the expressions below it twice, and again in every filter
+    return F.get(F.regexp_extract_all(clean, F.lit(ACCESSION), F.lit(0)), F.lit(0))
 
 
 def accession(value: Column) -> Column:

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import materialize
+
 
 def kmers(text: Column, k: int = 3) -> Column:
     """Overlapping, case-sensitive character k-mers; runs of whitespace count as one space; null and shorter texts give
@@ -60,8 +62,8 @@ def bm25_features(counts: DataFrame, vocab: DataFrame, train_ids: DataFrame, k1:
 
 def feature_table(counts: DataFrame, train_ids: DataFrame, kind: str, **options: float) -> DataFrame:
     """Fit on the training rows alone, transform all rows."""
-    train = counts.join(train_ids, "row_id", "left_semi")
-    vocab = vocabulary(train)
+    counts, train_ids = materialize(counts, "terms"), materialize(train_ids, "train-ids")
+    vocab = vocabulary(counts.join(train_ids, "row_id", "left_semi"))
     if kind == "count":
         return count_features(counts, vocab)
     if kind == "binary":

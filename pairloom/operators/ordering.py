@@ -39,6 +39,7 @@ def running_sums(rows: DataFrame, keys: Sequence[str], by: str, sums: dict[str,
     The range of ``by`` is cut at approximate quantiles; a slice starts from the total of the slices before it, so one
     key never needs a single sorted task. Empty tables and single-valued ``by`` are one slice.
     """
+    rows = materialize(rows, "ordered")  # read four times below
     cuts = rows.agg(F.percentile_approx(F.col(by).cast("double"), [i / slices for i in range(1, slices)], 1000)).first()[0] or []
     bounds = [-float("inf"), *sorted({c for c in cuts if c is not None and c == c}), float("inf")]
     rows = rows.withColumn("__by", F.col(by).cast("double"))

@@ -49,7 +49,8 @@ def normalize_labels(label: Column) -> Column:
 def normalize_pairs(pairs: DataFrame, a: str = "protein_a", b: str = "protein_b", label: str = "label", keep: Sequence[str] = ()) -> DataFrame:
     """Trimmed string endpoints (blank is null) and an integer label, with the columns of ``keep``."""
     require_columns(pairs, [a, b, label, *keep])
-    blank_null = lambda c: F.nullif(F.trim(F.col(c).cast("string")), F.lit(""))
+    # the text between the outer blanks, null if there is none; evaluated once, unlike nullif
+    blank_null = lambda c: F.get(F.regexp_extract_all(F.col(c).cast("string"), F.lit(r"(?s)[^ ](?:.*[^ ])?"), F.lit(0)), F.lit(0))
     return pairs.select(*keep, blank_null(a).alias("protein_a"), blank_null(b).alias("protein_b"), normalize_labels(F.col(label)).alias("label"))
 
 

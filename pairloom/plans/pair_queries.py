@@ -21,8 +21,10 @@ _SPACE = r"^[\s\p{Z}]+|[\s\p{Z}]+$"
 def raw_pairs(spark: SparkSession, d: str) -> DataFrame:
     """All rows of pairs with their accessions."""
     p = load(spark, d, "pairs")
-    rows = p.select("source_row_index", "pair_id", "system_type", "source", accession(F.col("protein_a")).alias("protein_a"), accession(F.col("protein_b")).alias("protein_b"), "label")
-    return pr.normalize_pairs(rows, keep=("source_row_index", "pair_id", "system_type", "source"))
+    return p.select(
+        "source_row_index", "pair_id", "system_type", "source", accession(F.col("protein_a")).alias("protein_a"),
+        accession(F.col("protein_b")).alias("protein_b"), pr.normalize_labels(F.col("label")).alias("label"),
+    )
 
 
 def valid_pairs(spark: SparkSession, d: str) -> DataFrame:
