@@ -20,8 +20,15 @@ def json_sha256(value: object) -> str:
 
 
 def file_sha256(path: str | Path) -> str:
-    with open(path, "rb") as f:
-        return hashlib.file_digest(f, "sha256").hexdigest()
+    """Digest of a file, or of the data files of a folder in the order of their names."""
+    path = Path(path)
+    parts = sorted(p for p in path.iterdir() if p.name[0] not in "._") if path.is_dir() else [path]
+    digest = hashlib.sha256()
+    for part in parts:
+        with open(part, "rb") as f:
+            while block := f.read(1 << 20):
+                digest.update(block)
+    return digest.hexdigest()
 
 
 def row_sha256(df: DataFrame, columns: Iterable[str]):

@@ -38,21 +38,27 @@ def pair_count(n: int) -> int:
     return n * (n - 1) // 2
 
 
+def _row_start(i: Column, n: Column) -> Column:
+    """Number of the first pair of row ``i``; the product needs more than 64 bits for n beyond 2**31."""
+    wide = i.cast("decimal(19,0)") * (2 * n - i - 1).cast("decimal(19,0)")
+    return F.call_function("div", wide, F.lit(2).cast("decimal(2,0)")).cast("bigint")
+
+
 def pair_number(i: Column, j: Column, n: Column | int) -> Column:
-    """Number of the pair (i, j), i < j < n, in the order (0,1), (0,2), ..., (1,2), ..."""
-    n = F.lit(n) if isinstance(n, int) else n
-    return (F.expr("0L") + i * (2 * n - i - 1) / 2).cast("bigint") + j - i - 1
+    """Number of the pair (i, j), i < j < n, in the order (0,1), (0,2), ..., (1,2), ...; n below 4 * 10**9."""
+    n = F.lit(n).cast("bigint") if isinstance(n, int) else n.cast("bigint")
+    return _row_start(i.cast("bigint"), n) + j - i - 1
 
 
 def pair_from_number(number: Column, n: Column | int) -> tuple[Column, Column]:
-    """(i, j) of :func:`pair_number`; the root of a double is corrected by an integer check in both directions."""
+    """(i, j) of :func:`pair_number`. Rows are counted from the last one, which has one pair, so the triangular root of a
+    double is off by one at most, and an integer check in both directions corrects it."""
     n = F.lit(n).cast("bigint") if isinstance(n, int) else n.cast("bigint")
-    number = number.cast("bigint")
-    start = lambda i: F.call_function("div", i * (2 * n - i - 1), F.lit(2).cast("bigint"))
-    b = (2 * n - 1).cast("double")
-    guess = F.greatest(F.floor((b - F.sqrt(F.greatest(b * b - 8 * number, F.lit(0.0)))) / 2).cast("bigint"), F.lit(0).cast("bigint"))
-    i = F.when(start(guess) > number, guess - 1).when(start(guess + 1) <= number, guess + 1).otherwise(guess)
-    return i, i + 1 + number - start(i)
+    back = _row_start(n - 1, n) - 1 - number.cast("bigint")
+    triangle = lambda r: F.call_function("div", r.cast("decimal(19,0)") * (r + 1).cast("decimal(19,0)"), F.lit(2).cast("decimal(2,0)")).cast("bigint")
+    guess = F.floor((F.sqrt(8.0 * back.cast("double") + 1) - 1) / 2).cast("bigint")
+    r = F.when(triangle(guess) > back, guess - 1).when(triangle(guess + 1) <= back, guess + 1).otherwise(guess)
+    return n - 2 - r, n - 1 - (back - triangle(r))
 
 
 def rectangle_from_number(number: Column, width: Column) -> tuple[Column, Column]:

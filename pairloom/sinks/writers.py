@@ -65,9 +65,10 @@ def prepare_folder(path: str, overwrite: bool = False) -> Path:
 
 def file_record(path: str | None) -> dict | None:
     """Path, digest and size of an input."""
-    if path is None or not Path(path).is_file():
+    if path is None or not Path(path).exists():
         return None
-    return {"path": str(path), "sha256": file_sha256(path), "bytes": Path(path).stat().st_size}
+    files = [p for p in Path(path).rglob("*") if p.is_file()] if Path(path).is_dir() else [Path(path)]
+    return {"path": str(path), "sha256": file_sha256(path), "bytes": sum(p.stat().st_size for p in files)}
 
 
 def write_dataset(pairs: DataFrame, sequences: DataFrame, taxa: DataFrame, out_dir: str, manifest: dict, overwrite: bool = False) -> dict:
