@@ -6,6 +6,7 @@ from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 from typing import Any, Protocol
 
+from pyspark import SparkContext
 from pyspark.ml import classification as ml
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import Vectors, VectorUDT
@@ -82,6 +83,9 @@ class _Constant:
 
 class _Fitted:
     def __init__(self, model):
+        # the training summary holds the session, which tasks cannot serialise once the session observes metrics
+        if getattr(model, "hasSummary", False):
+            model._java_obj.setSummary(SparkContext._active_spark_context._jvm.scala.Option.empty())
         self.model = model
 
     def score(self, rows: DataFrame) -> DataFrame:
