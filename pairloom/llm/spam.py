@@ -204,7 +204,9 @@ def spam_pages(documents: DataFrame, doc_id: str, text: str) -> DataFrame:
     character by character. Null, empty and blank texts are no pages.
     """
     flagged = coherence(documents, doc_id, text).filter(suspicious()).select(F.col("doc").alias(doc_id), F.lit(True).alias("__flagged"))
-    marked = F.col(text).rlike(r"(?i)://|www\.|\.(?:example|test|invalid|com|org|net)\b|#\w|<meta|</a>|[A-Z]{2,5}-\d{2,}")
+    marked = F.col(text).rlike(
+        r"(?im)://|www\.|\.(?:example|test|invalid|com|org|net)\b|#\w|<meta|</a>|[A-Z]{2,5}-\d{2,}|^[\s*•#-]*\w[\w ]{0,20}\s*[:=][^\n,]*,[^\n,]*,"
+    )
     rows = documents.select(doc_id, text).filter(F.length(F.trim(F.col(text))) > 0).join(flagged, doc_id, "left")
     rows = rows.filter(F.col("__flagged") | marked)
 
