@@ -31,10 +31,17 @@ def band_plan(threshold: float, most_shingles: int | None = None, missed: float
     return bands, rows
 
 
-def signature(shingles: Column, bands: int, rows: int) -> Column:
-    """One bucket per band: a hash of ``rows`` minwise hashes of the shingle set."""
-    hashes = F.transform(shingles, lambda s: F.xxhash64(s))
-    smallest = lambda i: F.array_min(F.transform(hashes, lambda h: F.xxhash64(h, F.lit(i))))
+def signature(shingles: Column, bands: int, rows: int, most_shingles: int | None = None) -> Column:
+    """One bucket per band: a hash of ``rows`` minwise hashes of the shingle set.
+
+    Sets known to be small are hashed element by element in generated code, others by (interpreted) array functions.
+    """
+    if most_shingles is not None and most_shingles <= 8:
+        parts = [F.get(shingles, F.lit(k)) for k in range(most_shingles)]
+        smallest = lambda i: F.least(F.lit(None).cast("bigint"), *(F.when(p.isNotNull(), F.xxhash64(p, F.lit(i))) for p in parts))
+    else:
+        hashes = F.transform(shingles, lambda s: F.xxhash64(s))
+        smallest = lambda i: F.array_min(F.transform(hashes, lambda h: F.xxhash64(h, F.lit(i))))
     return F.array(*(F.xxhash64(F.lit(b), *(smallest(b * rows + r) for r in range(rows))) for b in range(bands)))
 
 
@@ -69,7 +76,7 @@ class CrossSplitOverlap:
         self.sizes = self.members.groupBy("class_id").agg(F.count(F.lit(1)).alias("n"))
         bands, width = band_plan(threshold, most_shingles)
         classes = self.members.filter("row_id = class_id").select(
-            "class_id", "is_train", "shingles", F.posexplode(signature(F.col("shingles"), bands, width)).alias("band", "bucket")
+            "class_id", "is_train", "shingles", F.posexplode(signature(F.col("shingles"), bands, width, most_shingles)).alias("band", "bucket")
         )
         side = lambda train, name: classes.filter(F.col("is_train") == train).select(
             "band", "bucket", F.col("class_id").alias(f"{name}_class"), F.col("shingles").alias(f"{name}_shingles")
