@@ -37,6 +37,7 @@ _CODE = re.compile(r"\b[A-Z]{2,5}-\d{2,7}\b")
 _ACCESSION = re.compile(r"^[A-Za-z]{2}\d{5}[A-Za-z]$")
 _HASHTAG = re.compile(r"(?:^|\s)#\w+")
 _LABEL = re.compile(r"^[\s*•#-]*[^\W\d][\w ]{0,20}\s*[:=]\s*\S")
+_DIGITS = re.compile(r"\d+")
 _META = re.compile(r"<meta\b[^>]*>", re.I)
 _NO_SPACES = re.compile(r"[぀-ヿ㐀-鿿가-힯]")
 
@@ -53,6 +54,9 @@ def segment_kind(segment: str) -> tuple[str, list[str]]:
     s = segment.strip()
     if not s:
         return "empty", []
+    plain = s.lower().split()
+    if len(plain) > 10 and _stop(plain) >= max(3, 0.15 * len(plain)) and "<meta" not in s:
+        return "prose", []  # long with enough function words: no rule below says otherwise
     anchors, urls = _ANCHOR.search(s), _URL.search(s)
     words = _WORD.findall(_URL.sub(" ", _ANCHOR.sub(" ", s)))
     low = [w.lower() for w in words]
@@ -68,11 +72,12 @@ def segment_kind(segment: str) -> tuple[str, list[str]]:
         return "tag", low
     if n == 0:
         return "other", low
-    if len(_NO_SPACES.findall(s)) >= 3:
-        return "prose", low
-    letters = [c for c in s if c.isalpha()]
-    if letters and sum(c < "ɐ" for c in letters) < 0.5 * len(letters):
-        return "prose", low
+    if not s.isascii():
+        if len(_NO_SPACES.findall(s)) >= 3:
+            return "prose", low
+        letters = [c for c in s if c.isalpha()]
+        if letters and sum(c < "ɐ" for c in letters) < 0.5 * len(letters):
+            return "prose", low
     if _CODE.search(s) and glue < max(2, 0.12 * n):
         return "tag", low
     if max(map(len, words)) >= 25:
@@ -102,11 +107,12 @@ def spam_share(text: str | None) -> float:
     """
     if not text or not text.strip():
         return 0.0
-    segments = [(s.strip(), *segment_kind(s)) for s in _CUT.split(html.unescape(text))[::2]]
+    segments = [(s.strip(), *segment_kind(s)) for s in _CUT.split(html.unescape(text) if "&" in text else text)[::2]]
     opened: dict[tuple, set] = defaultdict(set)
     times: Counter = Counter()
     follows: dict[tuple, set] = defaultdict(set)
-    short = [[re.sub(r"\d+", "0", w) for w in words] for _, kind, words in segments if kind in ("fragment", "keywords", "prose") and 2 < len(words) <= 10]
+    even = lambda words: [w if w.isalpha() else _DIGITS.sub("0", w) for w in words]
+    short = [even(words) for _, kind, words in segments if kind in ("fragment", "keywords", "prose") and 2 < len(words) <= 10]
 
     def terms(words: list[str]) -> list[tuple]:
         pairs = [p for p in zip(words[2:], words[3:], strict=False) if not _stop(list(p))]
@@ -126,7 +132,7 @@ def spam_share(text: str | None) -> float:
         elif kind == "keywords":
             keyed, n_words = keyed + len(s), n_words + len(words)
         elif kind in ("fragment", "prose") and 2 < len(words) <= 10:
-            words = [re.sub(r"\d+", "0", w) for w in words]
+            words = even(words)
             start = tuple(words[:2])
             others = 2 if len(opened[start]) >= 2 else 3
             if times[start] >= 2 and any(len(follows[t]) >= others for t in terms(words)):
@@ -138,12 +144,18 @@ def spam_share(text: str | None) -> float:
 
 
 def word_stream(text: Column) -> Column:
-    """Lower-case words in order; addresses, numbers and accessions stand for their kind."""
-    s = F.lower(F.coalesce(text, F.lit("")))
-    s = F.regexp_replace(s, r"(?:https?|hxxps?)://\S+|\bwww\.\S+|\b[\w-]+(?:\.[\w-]+)*\.(?:example|test|invalid|com|org|net)\b\S*", " xurlx ")
-    s = F.regexp_replace(s, r"\b[a-z]{2}\d{5}[a-z]\b", " xaccx ")
-    s = F.regexp_replace(s, r"\d[\d.,]*", " 0 ")
-    return F.regexp_extract_all(s, F.lit(r"(#?[\p{L}0][\p{L}\p{M}'_-]*)"), F.lit(1))
+    """Hashes of the lower-case words in order; addresses, numbers and accessions stand for their kind.
+
+    One pass of a regular expression; the kinds are told apart by cheap looks at each word.
+    """
+    words = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"(?:https?|hxxps?)://\S+|#?\p{L}[\p{L}\p{M}\p{Nd}'_-]*+|\p{Nd}[\p{Nd}.,]*+"), F.lit(0))
+
+    def kind(w: Column) -> Column:
+        first = F.substr(w, F.lit(1), F.lit(1))
+        accession = (F.length(w) == 8) & (F.length(F.translate(w, "0123456789", "")) == 3)
+        return F.xxhash64(F.when(w.contains("://"), "://").when(first.between("0", "9"), "0").when(accession, "0a").otherwise(w))
+
+    return F.transform(words, kind)
 
 
 #: Pointwise mutual information below which two neighbours hardly go together.
@@ -159,7 +171,7 @@ def coherence(
     Word and pair counts are taken over all documents, from the partial counts per document, so a repeated page costs
     one row per distinct pair; hot words and hot pairs are looked up from a broadcast. Words are 64-bit hashes.
     """
-    words = documents.select(F.col(doc_id).alias("doc"), F.transform(word_stream(F.col(text)), lambda w: F.xxhash64(w)).alias("w"))
+    words = documents.select(F.col(doc_id).alias("doc"), word_stream(F.col(text)).alias("w"))
     words = words.filter(F.size("w") >= 2)
     n = F.size("w")
     both = F.arrays_zip(F.slice("w", F.lit(1), n - 1).alias("a"), F.slice("w", F.lit(2), n - 1).alias("b"))
@@ -187,14 +199,16 @@ def coherence(
     )
 
 
-# Candidates for the count of characters: many neighbours that hardly go together (word salad), or collocations that
-# come again and again. Prose with either is let through by the count, so the limits are wide.
-LOOSE_SHARE = 0.2
+# Candidates for the count of characters: many neighbours that hardly go together (word salad), collocations that come
+# again and again, or words so rare in the corpus that its counts cannot judge the text. Prose with any of these is let
+# through by the count, so the limits are wide.
+LOOSE_SHARE = 0.18
 REPEATED_SHARE = 0.05
+RARE_PMI = 5.5
 
 
 def suspicious() -> Column:
-    return (F.col("loose") > LOOSE_SHARE) | (F.col("repeated") > REPEATED_SHARE)
+    return (F.col("loose") >= LOOSE_SHARE) | (F.col("repeated") > REPEATED_SHARE) | (F.col("mean_pmi") > RARE_PMI)
 
 
 def spam_pages(documents: DataFrame, doc_id: str, text: str) -> DataFrame:
