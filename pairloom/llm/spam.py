@@ -25,6 +25,7 @@ FUNCTION_WORDS = frozenset(
     lo gli uno della di che è per non sono nel o os um uma do da dos das em na com het een van niet op te dat zijn met voor
     """.split()
 )
+ARTICLES = frozenset("the a an der die das den le la les un une el los las il lo gli o os as um uma het een".split())
 _URL = re.compile(
     r"(?:https?|hxxps?)://[^\s<>\"')\]|]+|\bwww\.[^\s<>\"')\]|]+"
     r"|\b[\w-]+(?:\.[\w-]+)*\.(?:example|test|invalid|com|org|net|io|info|de|fr|eu|edu|gov)\b(?:/[^\s<>\"')\]|]*)?",
@@ -55,8 +56,9 @@ def segment_kind(segment: str) -> tuple[str, list[str]]:
     if not s:
         return "empty", []
     plain = s.lower().split()
-    if len(plain) > 10 and _stop(plain) >= max(3, 0.15 * len(plain)) and "<meta" not in s:
-        return "prose", []  # long with enough function words: no rule below says otherwise
+    dull = len(plain) >= 12 and len(set(plain)) < 0.7 * len(plain)
+    if len(plain) > 10 and not dull and _stop(plain) >= max(3, 0.15 * len(plain)) and "<meta" not in s:
+        return "prose", []  # long and varied, with enough function words: no rule below says otherwise
     anchors, urls = _ANCHOR.search(s), _URL.search(s)
     words = _WORD.findall(_URL.sub(" ", _ANCHOR.sub(" ", s)))
     low = [w.lower() for w in words]
@@ -83,10 +85,16 @@ def segment_kind(segment: str) -> tuple[str, list[str]]:
     if max(map(len, words)) >= 25:
         return "other", low
     entries = re.split(r",\s+", s)
-    if len(entries) >= 4:  # an enumeration with a clause before it belongs to a sentence
+    worded = lambda e: any(w in FUNCTION_WORDS and w not in ARTICLES for w in e.lower().split())
+    lists = len(entries) >= 4 and sum(map(worded, entries[1:])) < len(entries) / 3
+    if len(entries) >= 4 and (lists or not dull):  # an enumeration with a clause before it belongs to a sentence
         lead = [w.lower() for w in _WORD.findall(entries[0])]
         if len(lead) >= 5 and _stop(lead) >= 2:
             return "prose", low
+    if dull and not any(_ACCESSION.match(w) for w in words) and sum(c.isdigit() for c in s) < 0.1 * len(s):
+        pairs = Counter(zip(low, low[1:], strict=False))
+        if sum(c for c in pairs.values() if c > 1) >= 0.5 * (n - 1):  # collocations again and again
+            return "keywords", low
     if len(entries) >= 3 and _LABEL.match(s) and glue <= 0.1 * n <= 0.4 * len(entries) and not any(_ACCESSION.match(w) for w in words):
         return "tag", low
     begins = s.lstrip(">\"'(*-•»#0123456789. ¿¡“")[:1].isupper()
@@ -102,8 +110,8 @@ def segment_kind(segment: str) -> tuple[str, list[str]]:
 def spam_share(text: str | None) -> float:
     """Share of the characters that belong to keywords, entries of link lists or product tags; 0 for null and blank.
 
-    Short fragments with function words ("price of X") count where a text permutes them: a repeated opening whose
-    continuation also follows other openings.
+    Short fragments with function words ("price of X") count where a text permutes them, by a repeated opening whose
+    continuation also follows other openings, or repeats them as they are.
     """
     if not text or not text.strip():
         return 0.0
@@ -116,8 +124,9 @@ def spam_share(text: str | None) -> float:
 
     def terms(words: list[str]) -> list[tuple]:
         pairs = [p for p in zip(words[2:], words[3:], strict=False) if not _stop(list(p))]
-        return pairs or ([tuple(words[-1:])] if words[-1] not in FUNCTION_WORDS else [])
+        return pairs + [(w,) for w in words[2:] if len(w) > 3 and w not in FUNCTION_WORDS]
 
+    whole_segments = Counter(tuple(w) for w in short)
     for words in short:
         start = tuple(words[:2])
         times[start] += 1
@@ -135,7 +144,8 @@ def spam_share(text: str | None) -> float:
             words = even(words)
             start = tuple(words[:2])
             others = 2 if len(opened[start]) >= 2 else 3
-            if times[start] >= 2 and any(len(follows[t]) >= others for t in terms(words)):
+            permuted = times[start] >= 2 and any(len(follows[t]) >= (others if len(t) == 2 else 3) for t in terms(words))
+            if permuted or (kind == "fragment" and whole_segments[tuple(words)] >= 3 and _stop(words) < 0.3 * len(words)):
                 keyed, n_words = keyed + len(s), n_words + len(words)
     return (listed + (keyed if n_words >= LEAST_KEYWORDS else 0)) / max(whole, 1)
 

@@ -328,12 +328,16 @@ SPAM = [
     "SKU ABC-12345 protein kit tag: cheap 12.50; Art. DEF-999 enzyme mix size: sale 3.10; Item GHI-4321 lab reagents category: best 7.77",
     "Tags: protein kit, enzyme mix, lab reagents, cheap beads\nFiled under: peptide, antibody, discount peptide\nkeywords=a kit, b kit, c kit",
     "what is the best protein kit - price of protein kit - what is the best enzyme mix - price of enzyme mix - who sells protein kit - who sells enzyme mix",
+    "where to buy protein kit who sells lab reagents reviews of lab reagents what is the best protein kit who sells protein kit reviews of protein kit where to buy lab reagents",
+    "price of enzyme mix, where to buy enzyme mix, price of peptide beads, who sells enzyme mix, where to buy peptide beads, price of enzyme mix, who sells peptide beads",
+    "is it cheap antibody - compare antibody? - who sells antibody - how to order antibody in Town - is it cheap antibody - price of antibody - who sells antibody - price of antibody",
     "protein kit septum placement hashed features length enzyme mix peptide export vesicle docking sequence analysis lab reagents cilium growth",
 ]
 CLEAN = [
     PROSE, PROSE + " See also what the curators wrote at https://a.example/x, in case it is needed again later.",
     PROSE * 3 + "\n#protein #kit #cheap", "", None, "   ", "ok", "Sequence missing.", "Nothing else changed.",
     "The list agreed upon at the last meeting names hashed k-mers, length and charge, hashed k-mers, pooled embeddings, hashed k-mers, length and charge, and these were kept in the end.",
+    "Nothing was found for the cell cortex, the bud neck, the cytosol, late endosomes, the bud neck, the cytosol, the axoneme, the cell cortex, the bud neck, the axoneme.",
     "run a/b seed=3 rows=100\n[000] epoch=0 loss=1.75 val_F1=0.1\n[001] epoch=1 loss=1.55 val_F1=0.2\nWARN pair (AB12345C, AB12345D): no sequence, dropped",
     ">sp|AB12345C|X_Y Name OS=Some species\nMKVLAAGGHHTTRREEWWQQPPLLMMNNKKSSTTYYVVCC\nMKVLAAGGHHTTRREEWWQQPPLLMMNNKKSSTTYYVVCC",
     "protein_a\tprotein_b\tlabel\tscore\nAB12345C\tAB12345D\t0\t0.4\nAB12345E\tAB12345F\t1\t0.7",
