@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import materialize
 from .mapping import project_endpoints
 from .pairs import unordered
 
@@ -54,7 +55,7 @@ def exposure_bin(exposure: Column, seen: Column, low: Column, high: Column) -> C
 
 def degree_profile(train: DataFrame, quantiles: Sequence[float] = (0.5, 0.9)) -> DataFrame:
     """:func:`degree_table` with bins."""
-    degrees = degree_table(train)
+    degrees = materialize(degree_table(train), "degrees")  # one row per protein, read three times
     seen = F.lit(True)
     joined = degrees.join(F.broadcast(cutoffs(degrees, quantiles)))  # one row
     return joined.select(

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.digests import json_sha256
 from ..session import materialize
 
 
@@ -120,5 +121,13 @@ def matrix_statistics(features: DataFrame, n_rows: int | Column) -> DataFrame:
     return stats.select(n.cast("bigint").alias("n_rows"), "n_columns", "n_stored", density.alias("density"), (F.col("n_stored") * 12).alias("n_bytes"))
 
 
+def feature_identity(kinds: Sequence[str], k: int = 3, k1: float = 1.5, b: float = 0.75) -> dict[str, str]:
+    """Name, digest of the specification and the short id name-k{k}-{digest} of configured features."""
+    names = list(dict.fromkeys(kinds))
+    spec = {"features": names, "k": k} | ({"bm25_k1": k1, "bm25_b": b} if "bm25" in names else {})
+    digest = json_sha256(spec)
+    return {"features": feature_name(names), "feature_spec_sha256": digest, "feature_identity": f"{feature_name(names)}-k{k}-{digest[:12]}"}
+
+
 def feature_name(kinds: Sequence[str]) -> str:
     return "+".join(dict.fromkeys(kinds))

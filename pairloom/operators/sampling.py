@@ -178,6 +178,14 @@ def check_negative_record(record: dict) -> dict:
     return record
 
 
+def weighted_sample(rows: DataFrame, weight: Column, n: int, seed: int, *identity: str) -> DataFrame:
+    """``n`` rows without replacement, each step in proportion to the weights left: the least exponential keys
+    -ln(1 - u) / weight, u from a hash of seed and identity. Rows of no positive weight are never drawn."""
+    u = F.conv(F.substring(hash_order(seed, *(F.col(c).cast("string") for c in identity)), 1, 13), 16, 10).cast("double") / float(2**52)
+    keyed = rows.withColumn("__w", weight.cast("double")).filter("__w > 0").withColumn("__key", -F.log1p(-u) / F.col("__w"))
+    return keyed.orderBy("__key", *identity).limit(n).drop("__w", "__key")
+
+
 # --- cohorts ---------------------------------------------------------------------------------------------------------------
 
 

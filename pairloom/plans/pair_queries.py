@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 
 from ..functions.accession import accession
 from ..functions.text import header_id, header_taxon, normalize_sequence, normalize_taxon, prottrans_sequence, safe_component, sequence_sha256
-from ..operators import audit, degree, features, mapping, metrics, pairs as pr, residues, sampling, splits, summaries
-from ..session import load
+from ..operators import audit, clustering, degree, features, mapping, metrics, pairs as pr, residues, sampling, splits, summaries
+from ..session import load, materialize
 from .corpus_queries import acc_sql
 
 _SPACE = r"^[\s\p{Z}]+|[\s\p{Z}]+$"
@@ -305,7 +305,7 @@ def degree_bins(spark, d):
     select r.*, case when label = 1 and lo is not null then 1 else 0 end as own from train r left join edges on lo = least(a, b) and hi = greatest(a, b)) r
   left join deg x on x.p = a left join deg y on y.p = b)""")
 def training_degree_features(spark, d):
-    train = _train(spark, d)
+    train = materialize(_train(spark, d), "train")
     out = degree.degree_features(train, degree.degree_profile(train), degree.positive_edges(train))
     return out.select("source_row_index", _r("f_min"), _r("f_max"), _r("f_product"))
 
@@ -327,14 +327,15 @@ ann as (select source_row_index, split, label as target, score,
 
 
 def _annotated(spark, d):
-    rows = assigned_pairs(spark, d)
+    rows = materialize(assigned_pairs(spark, d), "assigned")
     return degree.annotate(rows.filter("split <> 'train'"), degree.degree_profile(rows.filter("split = 'train'")))
 
 
 @_query(_ANN + "select * exclude (target, score), round(score, 6) as pa_score from ann")
 def endpoint_annotations(spark, d):
-    keep = [c for c in _annotated(spark, d).columns if c not in ("pair_id", "system_type", "source", "protein_a", "protein_b", "label", "pa_score")]
-    return _annotated(spark, d).select(*keep, _r("pa_score"))
+    rows = _annotated(spark, d)
+    keep = [c for c in rows.columns if c not in ("pair_id", "system_type", "source", "protein_a", "protein_b", "label", "pa_score")]
+    return rows.select(*keep, _r("pa_score"))
 
 
 def _scored(spark, d):
@@ -437,7 +438,7 @@ def order_graph_degrees(spark, d):
 
 def _terms(spark, d, k: int = 3):
     """K-mer counts of the sequences, and the ids of the proteins in training rows."""
-    s = sequences(spark, d)
+    s = materialize(sequences(spark, d), "sequences")
     train = pr.proteins_in(_train(spark, d)).join(s, "protein_id", "left_semi").select(F.col("protein_id").alias("row_id"))
     return features.term_counts(s, "protein_id", "sequence", k), train
 
@@ -583,8 +584,8 @@ select a as protein_a, b as protein_b, label, case when x = 0 and y = 0 then 'tr
 
 def _single(spark, d, mode: str, seed: int) -> DataFrame:
     """The assignment of one seed as it is, valid or not."""
-    rows = clean_pairs(spark, d)
-    groups = taxon_groups(spark, d, rows)
+    rows = materialize(clean_pairs(spark, d), "clean")
+    groups = materialize(taxon_groups(spark, d, rows), "groups")
     n = groups.select("group_id").distinct().count()
     parts = splits.partitions(groups, splits.partition_counts(mode, n, 0.1, 0.1), [seed])
     return splits.place_groups(rows, groups, parts, mode).select("protein_a", "protein_b", "label", "split")
@@ -603,7 +604,7 @@ def c3_assignment(spark, d):
 @_query()
 def best_c3_split(spark, d):
     """The best of 20 valid assignments of taxa."""
-    rows = clean_pairs(spark, d)
+    rows = materialize(clean_pairs(spark, d), "clean")
     return splits.entity_split(rows, taxon_groups(spark, d, rows), "c3", 0.1, 0.1, seed=0, n_trials=20)
 
 
@@ -617,6 +618,40 @@ def c3_invariants(spark, d):
     return splits.invariants(_single(spark, d, "c3", 22), "c3")
 
 
+@_query("select source_row_index, split from asg where split is not null")
+def provided_split(spark, d):
+    """The assignment as a split column: named without regard to case and blanks, other values refused."""
+    rows = load(spark, d, "split_assignments").filter("source_row_index is not null and split is not null")
+    clean = rows.select("source_row_index", F.regexp_replace("split", _SPACE, "").alias("given")).distinct()
+    return splits.provided(clean, "given").select("source_row_index", "split").distinct()
+
+
+@_query("""select source_row_index from (select source_row_index, -ln(1 - ('0x' || substr(md5('4|' || source_row_index), 1, 13))::bigint / 4503599627370496.0) / (1 + label) as k from valid)
+  order by k, source_row_index limit 400""")
+def weighted_rows(spark, d):
+    """400 rows, positive ones twice as likely at each draw."""
+    rows = valid_pairs(spark, d).select("source_row_index", "label")
+    return sampling.weighted_sample(rows, 1 + F.col("label"), 400, 4, "source_row_index").select("source_row_index")
+
+
+@_query("select (select count(*) from clean where label = 1) as n_negatives, 0 as n_observed, 0 as n_self, 0 as n_repeated")
+def negative_invariants(spark, d):
+    """As many negatives as positives, none of them observed, a self pair or repeated."""
+    positives = clean_pairs(spark, d).filter("label = 1")
+    drawn = sampling.sample_negatives(positives, sampling.NegativeSpec("global", 1.0, 3))
+    seen = positives.select("protein_a", "protein_b", F.lit(1).alias("seen"))
+    per = drawn.groupBy("protein_a", "protein_b").agg(F.count(F.lit(1)).alias("n")).join(seen, ["protein_a", "protein_b"], "left")
+    return per.agg(
+        F.sum("n").alias("n_negatives"), F.count("seen").alias("n_observed"), F.count_if(F.expr("protein_a = protein_b")).alias("n_self"), F.sum(F.col("n") - 1).alias("n_repeated")
+    )
+
+
+@_query()
+def sequence_clusters(spark, d):
+    """Approximate clusters of the sequences by their k-mers."""
+    return clustering.cluster_sequences(sequences(spark, d))
+
+
 # --- run tables --------------------------------------------------------------------------------------------------------------
 
 _MODELS = {"click": "degree_logistic", "view": "degree_hgb", "purchase": "preferential_attachment"}
@@ -649,6 +684,15 @@ def _gated(spark, d) -> DataFrame:
     return rows
 
 
+def _lift_rows(spark, d) -> DataFrame:
+    """:func:`_gated` with one attachment row per gate, as attachment runs must not differ behind a gate."""
+    rows = _gated(spark, d)
+    pa = rows.filter(F.col("model_name") == summaries.ATTACHMENT)
+    keys = [c for c in rows.columns if c not in ("auprc", "run_number")]
+    once = pa.groupBy(*keys).agg(F.avg("auprc").alias("auprc")).withColumn("run_number", F.lit(None).cast("bigint"))
+    return rows.filter(F.col("model_name") != summaries.ATTACHMENT).unionByName(once).withColumn("execution_id", F.col("run_number"))
+
+
 @_query(_RUNS + """select model_name, split_strategy, split, count(*) as n_runs, round(avg(auprc), 6) as auprc_mean,
   round(stddev_samp(auprc) / sqrt(count(auprc)), 6) as auprc_standard_error from cells group by 1, 2, 3""", base=False)
 def run_summary(spark, d):
@@ -682,12 +726,7 @@ from cells m, sel join rf c on c.model_name = selected_control and c.split_strat
 join rf p on p.model_name = 'preferential_attachment' and p.split_strategy = m.split_strategy and p.split_seed = m.split_seed
 where m.split = 'val' and m.model_name like 'mlp%'""", base=False)
 def degree_lift(spark, d):
-    rows = _gated(spark, d)
-    # attachment runs differ here, so they are one row per gate
-    pa = rows.filter(F.col("model_name") == summaries.ATTACHMENT)
-    keys = [c for c in rows.columns if c not in ("auprc", "run_number")]
-    once = pa.groupBy(*keys).agg(F.avg("auprc").alias("auprc")).withColumn("run_number", F.lit(None).cast("bigint"))
-    rows = rows.filter(F.col("model_name") != summaries.ATTACHMENT).unionByName(once).withColumn("execution_id", F.col("run_number"))
+    rows = _lift_rows(spark, d)
     out = summaries.degree_lift(rows, summaries.select_control(rows))
     return out.select(
         "model_name", "split_strategy", "split_seed", F.col("execution_id").alias("run_number"), "selected_fitted_control",
@@ -695,6 +734,23 @@ def degree_lift(spark, d):
     )
 
 
+@_query(_SEL + """, rf as (select model_name, split_strategy, split_seed, avg(auprc) as v from cells where split = 'val' group by 1, 2, 3),
+l as (select m.model_name, m.split_strategy, m.auprc - c.v as lift from cells m, sel join rf c on c.model_name = selected_control and c.split_strategy = m.split_strategy and c.split_seed = m.split_seed
+  where m.split = 'val' and m.model_name like 'mlp%')
+select model_name, split_strategy, count(*) as n_rows, round(avg(lift), 6) as absolute_lift from l group by 1, 2""", base=False)
+def lift_table(spark, d):
+    rows = _lift_rows(spark, d)
+    out = summaries.lift_table(summaries.degree_lift(rows, summaries.select_control(rows)))
+    return out.select("model_name", "split_strategy", "n_rows", _r("absolute_lift"))
+
+
+@_query("select event_type, cast(json_extract_string(props, '$.k') as bigint) % 10 as k, count(*) as n from events group by 1, 2", base=False)
+def json_fields(spark, d):
+    """A field of a JSON column, grouped."""
+    k = F.get_json_object("props", "$.k").try_cast("bigint") % 10
+    return load(spark, d, "events").groupBy("event_type", k.alias("k")).agg(F.count(F.lit(1)).alias("n"))
+
+
 @_query(_RUNS + """, t as (select model_name, split_strategy, round(avg(auprc), 6) as m from cells where split = 'train' and split_seed < 3 group by 1, 2),
 v as (select model_name, split_strategy, round(avg(auprc), 6) as m from cells where split = 'val' and run_number > 0 group by 1, 2)
 select coalesce(t.model_name, v.model_name) as model_name, coalesce(t.split_strategy, v.split_strategy) as split_strategy, t.m as m_train, v.m as m_test
