@@ -7,9 +7,9 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.components import connected_components
 from ..operators.skew import HOT_FLOOR, HOT_SHARE, hot_keys, lookup
 from ..session import materialize
-from .components import connected_components
 
 #: Groups below 1 / UNIT_SHARE of all rows are placed by the bundle, whole groups together, so at most UNIT_SHARE
 #: groups and BUNDLES bundles per rarest label are placed, however many groups there are.
