@@ -657,7 +657,7 @@ def sequence_clusters(spark, d):
 _MODELS = {"click": "degree_logistic", "view": "degree_hgb", "purchase": "preferential_attachment"}
 _RUNS = """with runs as (select case event_type when 'click' then 'degree_logistic' when 'view' then 'degree_hgb' when 'purchase' then 'preferential_attachment' else 'mlp_' || event_type end as model_name,
     (user_id % 5)::int as split_seed, case (user_id // 5) % 3 when 0 then 'random' when 1 then 'c1' else 'c2' end as split_strategy, case event_id % 2 when 0 then 'train' else 'val' end as split,
-    (event_id // 2) % 3 as run_number, value / 100 as auprc from events),
+    (event_id // 2) % 3 as run_number, value / 101 as auprc from events),
 cells as (select model_name, split_seed, split_strategy, split, run_number, avg(auprc) as auprc from runs group by all)
 """
 
@@ -669,7 +669,7 @@ def _runs(spark, d) -> DataFrame:
     strategy = F.get(F.array(*(F.lit(s) for s in ("random", "c1", "c2"))), (F.floor(F.col("user_id") / 5) % 3).cast("int"))
     rows = e.select(
         model.alias("model_name"), (F.col("user_id") % 5).cast("int").alias("split_seed"), strategy.alias("split_strategy"),
-        F.when(F.col("event_id") % 2 == 0, "train").otherwise("val").alias("split"), (F.floor(F.col("event_id") / 2) % 3).alias("run_number"), (F.col("value") / 100).alias("auprc"),
+        F.when(F.col("event_id") % 2 == 0, "train").otherwise("val").alias("split"), (F.floor(F.col("event_id") / 2) % 3).alias("run_number"), (F.col("value") / 101).alias("auprc"),
     )
     return rows.groupBy("model_name", "split_seed", "split_strategy", "split", "run_number").agg(F.avg("auprc").alias("auprc"))
 
