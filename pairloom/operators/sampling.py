@@ -5,9 +5,9 @@ from __future__ import annotations
 from dataclasses import asdict, dataclass
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..session import materialize
 from .mapping import project_endpoints
 from .ordering import dense_index, hash_order
 from .pairs import proteins_in, require_empty, unordered
@@ -50,15 +50,23 @@ def pair_number(i: Column, j: Column, n: Column | int) -> Column:
     return _row_start(i.cast("bigint"), n) + j - i - 1
 
 
-def pair_from_number(number: Column, n: Column | int) -> tuple[Column, Column]:
-    """(i, j) of :func:`pair_number`. Rows are counted from the last one, which has one pair, so the triangular root of a
-    double is off by one at most, and an integer check in both directions corrects it."""
-    n = F.lit(n).cast("bigint") if isinstance(n, int) else n.cast("bigint")
-    back = _row_start(n - 1, n) - 1 - number.cast("bigint")
+def with_pair(rows: DataFrame, number: str, n: str, i: str = "i", j: str = "j") -> DataFrame:
+    """``rows`` with the pair (``i``, ``j``) of :func:`pair_number` for the columns ``number`` and ``n``.
+
+    Rows of the triangle are counted from the last one, which has one pair, so the triangular root of a double is off by
+    one at most, and an integer check in both directions corrects it. Each step is a projection of its own, as a single
+    expression would repeat the steps before it many times over.
+    """
+    size = F.col(n).cast("bigint")
     triangle = lambda r: F.call_function("div", r.cast("decimal(19,0)") * (r + 1).cast("decimal(19,0)"), F.lit(2).cast("decimal(2,0)")).cast("bigint")
-    guess = F.floor((F.sqrt(8.0 * back.cast("double") + 1) - 1) / 2).cast("bigint")
-    r = F.when(triangle(guess) > back, guess - 1).when(triangle(guess + 1) <= back, guess + 1).otherwise(guess)
-    return n - 2 - r, n - 1 - (back - triangle(r))
+    guess, back = F.col("__guess"), F.col("__back")
+    out = rows.withColumn("__back", _row_start(size - 1, size) - 1 - F.col(number).cast("bigint"))
+    out = out.withColumn("__guess", F.floor((F.sqrt(8.0 * back.cast("double") + 1) - 1) / 2).cast("bigint"))
+    out = out.withColumn("__low", triangle(guess)).withColumn("__high", triangle(guess + 1))
+    out = out.withColumn("__r", F.when(F.col("__low") > back, guess - 1).when(F.col("__high") <= back, guess + 1).otherwise(guess))
+    out = out.withColumn("__start", triangle(F.col("__r")))
+    out = out.withColumn(i, size - 2 - F.col("__r")).withColumn(j, size - 1 - (back - F.col("__start")))
+    return out.drop("__back", "__guess", "__low", "__high", "__r", "__start")
 
 
 def rectangle_from_number(number: Column, width: Column) -> tuple[Column, Column]:
@@ -120,7 +128,8 @@ def sample_negatives(positives: DataFrame, spec: NegativeSpec, taxa: DataFrame |
     complement is never built; the least hashes win, which makes the draw exact in size and repeatable.
     """
     spark = positives.sparkSession
-    seen = observed_pairs(positives).persist()
+    positives = materialize(positives.select("protein_a", "protein_b"), "positives")
+    seen = observed_pairs(positives)
     proteins = proteins_in(positives)
     if spec.policy == "global":
         nodes = proteins.withColumn("taxon_id", F.lit("all"))
@@ -147,15 +156,18 @@ def sample_negatives(positives: DataFrame, spec: NegativeSpec, taxa: DataFrame |
     strata = spark.createDataFrame([(name[k], k[0], k[1], members[k[0]], members[k[1]], given[k]) for k in observed], "stratum string, l string, h string, nl bigint, nh bigint, want bigint")
     rows = drawn.join(F.broadcast(strata) if len(observed) <= 100_000 else strata, "stratum")
     same = F.col("l") == F.col("h")
-    ti, tj = pair_from_number(F.col("number"), F.col("nl"))
     ri, rj = rectangle_from_number(F.col("number"), F.col("nh"))
-    placed = rows.select("stratum", "l", "h", "want", F.when(same, ti).otherwise(ri).alias("i"), F.when(same, tj).otherwise(rj).alias("j"))
+    within = with_pair(rows.filter(same), "number", "nl").select("stratum", "l", "h", "want", "i", "j")
+    between = rows.filter(~same).select("stratum", "l", "h", "want", ri.alias("i"), rj.alias("j"))
+    placed = materialize(within.unionByName(between), "drawn-pairs")  # or every join would repeat the arithmetic in a filter
     first = ranked.select(F.col("taxon_id").alias("l"), F.col("position").alias("i"), F.col("protein_id").alias("p"))
     second = ranked.select(F.col("taxon_id").alias("h"), F.col("position").alias("j"), F.col("protein_id").alias("q"))
     named = placed.join(first, ["l", "i"]).join(second, ["h", "j"])
     ordered = named.select("stratum", "want", F.least("p", "q").alias("lo"), F.greatest("p", "q").alias("hi")).join(seen, ["lo", "hi"], "left_anti")
-    rank = F.row_number().over(W.partitionBy("stratum").orderBy(hash_order(spec.seed, "lo", "hi"), "lo", "hi"))
-    chosen = ordered.withColumn("r", rank).filter("r <= want")
+    # the rank within a stratum comes from one global order, so a large stratum is no single task
+    numbered = dense_index(ordered, ["stratum", hash_order(spec.seed, "lo", "hi"), "lo", "hi"], "n")
+    begins = numbered.groupBy("stratum").agg(F.min("n").alias("begin"))
+    chosen = numbered.join(begins, "stratum").filter("n - begin < want")
     return chosen.select(F.col("lo").alias("protein_a"), F.col("hi").alias("protein_b"), F.lit(0).alias("label"))
 
 

@@ -171,12 +171,16 @@ def test_fixed_threshold_and_bad_rows(spark):
 
 def test_pair_space(spark):
     n = 50
-    got = [tuple(r) for r in spark.range(n * (n - 1) // 2).select(*sampling.pair_from_number(F.col("id"), n)).collect()]
+    space = spark.range(n * (n - 1) // 2).withColumn("n", F.lit(n))
+    got = [tuple(r) for r in sampling.with_pair(space, "id", "n").orderBy("id").select("i", "j").collect()]
     assert got == list(itertools.combinations(range(n), 2))
     big = 3_000_000_000
-    for i, j in ((0, 1), (0, big - 1), (big - 2, big - 1), (12345678, 2_999_999_998)):
-        number = i * (2 * big - i - 1) // 2 + j - i - 1
-        assert tuple(spark.range(1).select(*sampling.pair_from_number(F.lit(number), big)).first()) == (i, j)
+    pairs = [(0, 1), (0, big - 1), (big - 2, big - 1), (12345678, 2_999_999_998), (1_500_000_000, 1_500_000_001)]
+    numbers = [(i * (2 * big - i - 1) // 2 + j - i - 1, big) for i, j in pairs]
+    df = sampling.with_pair(spark.createDataFrame(numbers, "number bigint, n bigint"), "number", "n")
+    assert sorted(tuple(r) for r in df.select("i", "j").collect()) == sorted(pairs)
+    back = df.select((sampling.pair_number(F.col("i"), F.col("j"), F.col("n")) - F.col("number")).alias("d")).collect()
+    assert {r[0] for r in back} == {0}
 
 
 def test_allocation():
