@@ -56,11 +56,13 @@ class GroupedSplit:
     """Groups of ``rows`` (``row_id``, nullable bigint entities ``a`` and ``b``, ``label``) that share an entity.
 
     Entities that tie no records together must already be null. A row without entities is a group of its own. Labels
-    are counted by the values of ``labels``, any other value (and null) in one more class.
+    are counted by the values of ``labels``, any other value (and null) in one more class. Other columns are ignored, so
+    their names may be any. An empty table has no groups.
     """
 
     def __init__(self, rows: DataFrame, total: int, labels: tuple = (0, 1), share: float = HOT_SHARE, floor: int = HOT_FLOOR):
         self.total, self.labels, self.share, self.floor = total, labels, share, floor
+        rows = rows.select("row_id", "a", "b", "label")
         self.rows = rows.withColumn("node", F.coalesce("a", "b"))
         roots = connected_components(rows.select(F.col("a").alias("u"), F.col("b").alias("v")), share, floor)
         self.roots = materialize(roots, "roots")

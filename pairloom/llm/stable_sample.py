@@ -47,9 +47,10 @@ def stable_sample(
 
     The persistent sequence number of a unit is the ``identifier`` (a non-negative bigint) of its first row by
     ``arrived`` and identifier; rows that arrive later never change it. A null ``arrived`` counts as the earliest, a
-    null identifier as 0, and rows without a unit have no number and are in no sample.
+    null identifier as 0, and rows without a unit have no number and are in no sample. Other columns come along, except
+    one that is itself called ``spec_name``.
     """
-    rows = rows.filter(F.col(unit).isNotNull())
+    rows = rows.filter(F.col(unit).isNotNull()).drop("spec_name")
     micros = F.coalesce(F.unix_micros(F.col(arrived).cast("timestamp")), F.lit(-(10**17)))
     first = micros.cast("decimal(19,0)") * F.lit(_TEN_19).cast("decimal(20,0)") + F.coalesce(F.col(identifier), F.lit(0)).cast("decimal(19,0)")
     hot = hot_keys(rows, key_hash(unit), total, share, floor)

@@ -44,6 +44,7 @@ SPECS = [("a", 0.1, 7), ("b", 0.25, 8), ("all", 1.0, 1)]
 
 
 def sampled(df, n, floor=10**6):
+    df = df.withColumn("spec_name", F.lit("clash")).withColumn("sequence", F.lit(0))
     out = stable_sample.stable_sample(df, "unit", "id", "at", SPECS, n, 0.05, floor)
     return {tuple(r) for r in out.select("spec_name", "id", "unit").collect()}
 
@@ -217,6 +218,8 @@ def test_grouped_split(spark, floor):
         a, b = g + r.randrange(5), g + r.randrange(5)
         data.append((i, a if r.random() < 0.9 else None, b if r.random() < 0.9 else None, r.choice([0, 0, 1, None])))
     df = spark.createDataFrame(data, "row_id bigint, a bigint, b bigint, label int").repartition(4)
+    for clash in ("split", "root", "node", "unit"):
+        df = df.withColumn(clash, F.lit("x"))
     g = GroupedSplit(df, len(data), share=0.05, floor=floor)
     out = {x["row_id"]: (x["root"], x["split"]) for x in g.assign({"train": 0.8, "val": 0.1, "test": 0.1}).collect()}
     root = brute_components([(a, b) for _, a, b, _ in data if a is not None and b is not None])
