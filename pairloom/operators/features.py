@@ -19,8 +19,14 @@ def kmers(text: Column, k: int = 3) -> Column:
 
 
 def term_counts(rows: DataFrame, row_id: str, text: str, k: int = 3) -> DataFrame:
-    """(row_id, term, tf)."""
-    return rows.select(F.col(row_id).alias("row_id"), F.explode(kmers(F.col(text), k)).alias("term")).groupBy("row_id", "term").agg(F.count(F.lit(1)).alias("tf"))
+    """(row_id, term, tf).
+
+    The texts are spread by row before they are cut, which moves far fewer bytes than their k-mers; the count per row and
+    term is local then. The number of partitions is given, as texts look small to the adaptive planner.
+    """
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = rows.select(F.col(row_id).alias("row_id"), F.col(text).alias("text")).repartition(parts, "row_id")
+    return spread.select("row_id", F.explode(kmers(F.col("text"), k)).alias("term")).groupBy("row_id", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def vocabulary(train: DataFrame) -> DataFrame:
