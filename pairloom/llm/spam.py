@@ -1,4 +1,4 @@
-"""Keyword-stuffed pages, link lists and tag pages: word coherence from corpus counts, then a count of characters."""
+"""Keyword-stuffed pages, link lists and tag pages by a count of characters; word coherence from corpus counts."""
 
 from __future__ import annotations
 
@@ -209,33 +209,16 @@ def coherence(
     )
 
 
-# Candidates for the count of characters: many neighbours that hardly go together (word salad), collocations that come
-# again and again, or words so rare in the corpus that its counts cannot judge the text. Prose with any of these is let
-# through by the count, so the limits are wide.
-LOOSE_SHARE = 0.18
-REPEATED_SHARE = 0.05
-RARE_PMI = 5.5
-
-
-def suspicious() -> Column:
-    return (F.col("loose") >= LOOSE_SHARE) | (F.col("repeated") > REPEATED_SHARE) | (F.col("mean_pmi") > RARE_PMI)
-
-
 def spam_pages(documents: DataFrame, doc_id: str, text: str) -> DataFrame:
     """``doc_id`` of the pages more than half of whose characters are keywords, link lists or tags.
 
-    Documents that the corpus statistics flag (or that hold addresses or tags, which carry few word pairs) are counted
-    character by character. Null, empty and blank texts are no pages.
+    Every text is counted character by character, so the answer for a page depends on nothing but its text: neither on
+    its copies nor on the rest of the corpus. Null, empty and blank texts are no pages.
     """
-    flagged = coherence(documents, doc_id, text).filter(suspicious()).select(F.col("doc").alias(doc_id), F.lit(True).alias("__flagged"))
-    marked = F.col(text).rlike(
-        r"(?im)://|www\.|\.(?:example|test|invalid|com|org|net)\b|#\w|<meta|</a>|[A-Z]{2,5}-\d{2,}|^[\s*•#-]*\w[\w ]{0,20}\s*[:=][^\n,]*,[^\n,]*,"
-    )
-    rows = documents.select(doc_id, text).filter(F.length(F.trim(F.col(text))) > 0).join(flagged, doc_id, "left")
-    rows = rows.filter(F.col("__flagged") | marked)
+    rows = documents.select(doc_id, text).filter(F.length(F.trim(F.col(text))) > 0)
 
     def count(batches):
         for pdf in batches:
             yield pdf[pdf[text].map(spam_share) > 0.5][[doc_id]]
 
-    return rows.select(doc_id, text).mapInPandas(count, f"{doc_id} {dict(documents.dtypes)[doc_id]}")
+    return rows.mapInPandas(count, f"{doc_id} {dict(documents.dtypes)[doc_id]}")

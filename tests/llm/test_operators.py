@@ -369,6 +369,14 @@ def test_spam_pages(spark):
     assert spam.spam_pages(df.limit(0), "doc_id", "text").count() == 0
 
 
+@pytest.mark.parametrize("copies", [1, 20])
+def test_spam_pages_do_not_depend_on_copies(spark, copies):
+    texts = SPAM * copies + CLEAN + [PROSE] * 10
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3)
+    got = {r[0] for r in spam.spam_pages(df, "doc_id", "text").collect()}
+    assert got == {i for i, t in enumerate(texts) if t in SPAM}
+
+
 @pytest.mark.parametrize("floor", [3, 10**9])
 def test_coherence_is_the_definition(spark, floor):
     import math
