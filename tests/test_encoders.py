@@ -66,6 +66,33 @@ def test_clusters(spark, floor):
     assert all(got[p] == f"{p[:2]}0" for p, _ in data[:-2])
 
 
+@pytest.mark.parametrize(("floor", "block"), [(3, 2), (10**6, None)])
+def test_clusters_next_to_strangers_in_a_bucket(spark, floor, block):
+    r = random.Random(2)
+    sequence = lambda n: "".join(r.choice("ACDEFGHIKLMNPQRSTVWY") for _ in range(n))
+    data, want = [], {}
+    for f in range(6):
+        own = sequence(60)
+        for m in range(3):
+            data.append((f"P{f}{m}", own + sequence(2 * m)))
+            want[f"P{f}{m}"] = f"P{f}0"
+    # with one hash a bucket, each holds the sequence of just its term, which is the least member and similar to no other
+    terms = {s[i : i + 3] for _, s in data for i in range(len(s) - 2)}
+    data += [(f"A{t}", t) for t in terms] + [("Z", data[0][1])]
+    want |= {f"A{t}": f"A{t}" for t in terms} | {"Z": "P00"}
+    df = spark.createDataFrame(data, "protein_id string, sequence string")
+    options = {} if block is None else {"block": block}
+    got = clustering.cluster_sequences(df, 0.6, bands=6, width=1, floor=floor, share=0.001, **options)
+    assert dict(map(tuple, got.collect())) == want
+
+
+def test_bands_keep_the_promised_loss():
+    for threshold in (0.3, 0.5, 0.9, 1.0):
+        for width in (1, 3, 5):
+            assert (1 - threshold**width) ** clustering.bands_for(threshold, width) <= clustering.MISSED
+    assert [clustering.width_for(n) for n in (0, 20_000, 20_001, 600_000, 600_001)] == [3, 3, 4, 4, 5]
+
+
 def test_components_of_a_chain(spark):
     df = spark.createDataFrame([(i, i + 1) for i in range(50)] + [(None, 1), (7, 7)], "u bigint, v bigint")
     assert {r["root"] for r in connected_components(df).collect()} == {0}
