@@ -119,15 +119,19 @@ def dense_vector(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
     return rows.withColumn("features", array_to_vector(F.array(*(F.col(c).cast("double") for c in columns))))
 
 
-def sparse_vectors(table: DataFrame, train_rows: DataFrame, row_id: str = "pair_id", terms: Sequence[str] = ("part", "term")) -> DataFrame:
+def sparse_vectors(table: DataFrame, train_rows: DataFrame, row_id: str = "pair_id", terms: Sequence[str] = ("part", "term"), rows: DataFrame | None = None) -> DataFrame:
     """(row_id, features) from a long feature table; columns are the terms of the training rows, in order.
 
+    With ``rows``, each of its ids has a vector, of zeros where the table has none of the columns.
+
     Spark has no built-in that makes a sparse vector, so the last step runs in Python, once per row.
     """
     key = F.concat_ws(":", *terms)
     columns = dense_index(table.join(train_rows.select(row_id), row_id, "left_semi").select(key.alias("column")).distinct(), ["column"], "i")
     size = columns.count()
     cells = table.withColumn("column", key).join(columns, "column").groupBy(row_id).agg(F.array_sort(F.collect_list(F.struct(F.col("i").cast("int").alias("i"), "value"))).alias("c"))
+    if rows is not None:
+        cells = rows.select(row_id).join(cells, row_id, "left").withColumn("c", F.coalesce("c", F.array().cast(cells.schema["c"].dataType)))
 
     def vector(c):
         return Vectors.sparse(size, [x[0] for x in c], [x[1] for x in c])

@@ -92,7 +92,10 @@ def make_split(spark: SparkSession, rows: DataFrame, o: TrainOptions) -> DataFra
 
 
 def feature_rows(rows: DataFrame, sequences: DataFrame, o: TrainOptions) -> DataFrame:
-    """(source_row_index, features): the configured k-mer blocks of both endpoints, composed symmetrically."""
+    """(source_row_index, features): the configured k-mer blocks of both endpoints, composed symmetrically.
+
+    Every one of ``rows`` is there; a pair without a k-mer of the training vocabulary has the vector of zeros.
+    """
     train = rows.filter("split = 'train'")
     counts = features.term_counts(sequences, "protein_id", "sequence", o.k)
     ids = pr.proteins_in(train).select(F.col("protein_id").alias("row_id"))
@@ -100,7 +103,7 @@ def feature_rows(rows: DataFrame, sequences: DataFrame, o: TrainOptions) -> Data
     blocks = {f: features.feature_table(counts, ids, f, **options.get(f, {})) for f in dict.fromkeys(o.features)}
     stacked = features.stack_features(blocks).drop("block")
     long = materialize(features.compose_sparse(rows, stacked, "source_row_index").withColumnRenamed("pair_id", "source_row_index"), "composed")
-    return sparse_vectors(long, train, "source_row_index")
+    return sparse_vectors(long, train, "source_row_index", rows=rows)
 
 
 def degree_report(rows: DataFrame, profile: DataFrame, strategy: str, evaluated: list[str]) -> DataFrame:

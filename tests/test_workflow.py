@@ -232,6 +232,15 @@ def test_sampled_negatives(spark, toy_files):
     assert m["n_negative"] == round(m["n_positive"] * 0.5) and m["negatives"]["source"] == "generated"
 
 
+def test_pairs_without_known_kmers_keep_a_row(spark):
+    o = train.TrainOptions("p", "f", "r")
+    pairs = spark.createDataFrame([(0, "A", "B", "train"), (1, "S", "T", "train"), (2, "U", "U", "test")], "source_row_index bigint, protein_a string, protein_b string, split string")
+    sequences = spark.createDataFrame([("A", "MKVLAA"), ("B", "MKVGGA"), ("S", "MK"), ("T", "V"), ("U", "WWWWW")], "protein_id string, sequence string")
+    got = {r[0]: r[1] for r in train.feature_rows(pairs, sequences, o).collect()}
+    assert set(got) == {0, 1, 2} and len({v.size for v in got.values()}) == 1
+    assert got[0].numNonzeros() > 0 and got[1].numNonzeros() == got[2].numNonzeros() == 0
+
+
 def test_train_options():
     base = {"pairs": "p", "fasta": "f", "run_dir": "r"}
     for bad in ({"train_size": 0.9, "val_size": 0.1}, {"degree_bin_quantiles": (0.9, 0.5)}, {"sequence_clusters": "c"}, {"model_seeds": (1, 1)}, {"max_pairs": 1, "sample_fraction": 0.1}, {"features": ("x",)}, {"classifier": ("x",)}):
