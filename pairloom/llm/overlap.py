@@ -25,7 +25,7 @@ def band_plan(threshold: float, most_shingles: int | None = None, missed: float
         b = 1
         while (1 - threshold**r) ** b > missed:
             b += 1
-        if b > 40:
+        if b > 40 and r > 1:  # one row a band takes the bands it needs, whatever their number
             break
         bands, rows = b, r
     return bands, rows

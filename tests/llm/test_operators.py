@@ -277,6 +277,12 @@ def test_byte_alphabet_is_one_to_one():
     assert not any(c.isspace() for c in letters.values())
 
 
+@pytest.mark.parametrize("threshold", [0.02, 0.1, 0.15, 0.2, 0.5, 0.8])
+def test_band_plan_keeps_the_promised_loss(threshold):
+    bands, width = overlap.band_plan(threshold)
+    assert (1 - threshold**width) ** bands <= 1e-3
+
+
 # --- mixture -----------------------------------------------------------------------------------------------------------------
 
 
