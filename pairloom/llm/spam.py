@@ -1,156 +1,442 @@
-"""Keyword-stuffed pages, link lists and tag pages by a count of characters; word coherence from corpus counts."""
+"""Keyword-stuffed pages, link lists and tag pages by the pointwise mutual information of neighbouring words."""
 
 from __future__ import annotations
 
 import html
 import re
-from collections import Counter, defaultdict
+import unicodedata
+from collections.abc import Iterator
+from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.skew import HOT_FLOOR, HOT_SHARE, hot_keys, lookup
+from ..operators.skew import HOT_FLOOR, HOT_SHARE, hot_keys, is_hot, key_hash, lookup, with_group_min
 from ..session import materialize
 
-# Frequent function words of the Latin-script languages of the corpus.
-FUNCTION_WORDS = frozenset(
-    """the of and a an in is was were are to with by for on at from that this it its we you as be been has have had not
-    or but if which who how what why when where than then so because after before during into no nor can could would
-    may will our their they he she his her my your there these those one all any some only
-    der die das den dem des ein eine einer eines einem und ist war sind wurde wurden zu mit von für auf im an bei nicht
-    als auch aus nach wie wir sich es ohne über um bis ob oder haben hat nur noch
-    le la les un une du de et est sont ont été à au aux dans pour par sur avec que qui ne pas il elle nous se ce cette
-    mais dont même ils leur ses
-    el los las una unos unas del y son fue en por para con su sus al más como lo cuando
-    lo gli uno della di che è per non sono nel o os um uma do da dos das em na com het een van niet op te dat zijn met voor
-    """.split()
-)
-ARTICLES = frozenset("the a an der die das den le la les un une el los las il lo gli o os as um uma het een".split())
+# --- segments and words of a text ------------------------------------------------------------------------------------
+
+FREE, LINK, TAG, OTHER = range(4)
+_SENTENCE, _ENDED = 4, 8  # bits beside the kind: a sentence of five words or more; any segment with the end of one
+_NUMBER, _IDENTIFIER = 0, 1  # hashes that stand for any number and any identifier
+
 _URL = re.compile(
-    r"(?:https?|hxxps?)://[^\s<>\"')\]|]+|\bwww\.[^\s<>\"')\]|]+"
-    r"|\b[\w-]+(?:\.[\w-]+)*\.(?:example|test|invalid|com|org|net|io|info|de|fr|eu|edu|gov)\b(?:/[^\s<>\"')\]|]*)?",
-    re.I,
+    r"(?:[a-z]{3,6}://|\bwww\.)[^\s<>\"')\]|]+|\b[\w-]+(?:\.[\w-]+)+/[^\s<>\"')\]|]*|\b[a-z\d-]+(?:\.[a-z\d-]+)*\.[a-z]{2,24}\b(?![(.])", re.I
 )
 _ANCHOR = re.compile(r"<a\s[^>]*>.*?</a>|\[[^\]\n]*\]\([^)\s]*\)", re.I | re.S)
-_CUT = re.compile(r"((?<=[.!?。？！])\s+|[\r\n]+|<br\s*/?>|\s[|»•/–-]\s+|\s*[|»•]\s*|(?:^|\s)\*\s+|;\s+)")
-_WORD = re.compile(r"[^\W_](?:[\w'’]|[-_](?=\w))*")
-_CODE = re.compile(r"\b[A-Z]{2,5}-\d{2,7}\b")
-_ACCESSION = re.compile(r"^[A-Za-z]{2}\d{5}[A-Za-z]$")
+_CUT = re.compile(r"(?<=[.!?。？！])\s+|[\r\n]+|<br\s*/?>|\s[|»•/–-]\s+|\s*[|»•]\s*|(?:^|\s)\*\s+|;\s+")
+_WORD = re.compile(r"[^\W\d_][\w'’]*(?:-\w+)*|\d+(?:[.,]\d+)*")
 _HASHTAG = re.compile(r"(?:^|\s)#\w+")
-_LABEL = re.compile(r"^[\s*•#-]*[^\W\d][\w ]{0,20}\s*[:=]\s*\S")
-_DIGITS = re.compile(r"\d+")
-_META = re.compile(r"<meta\b[^>]*>", re.I)
-_NO_SPACES = re.compile(r"[぀-ヿ㐀-鿿가-힯]")
-
-#: Keywords alone make a page of spam only from this many words on; shorter texts are replies.
-LEAST_KEYWORDS = 12
-
-
-def _stop(words: list[str]) -> int:
-    return sum(w in FUNCTION_WORDS for w in words)
-
-
-def segment_kind(segment: str) -> tuple[str, list[str]]:
-    """(kind, words) of a line, sentence or list entry: link, tag, keywords, fragment, prose, other or empty."""
-    s = segment.strip()
-    if not s:
-        return "empty", []
-    plain = s.lower().split()
-    dull = len(plain) >= 12 and len(set(plain)) < 0.7 * len(plain)
-    if len(plain) > 10 and not dull and _stop(plain) >= max(3, 0.15 * len(plain)) and "<meta" not in s:
-        return "prose", []  # long and varied, with enough function words: no rule below says otherwise
-    anchors, urls = _ANCHOR.search(s), _URL.search(s)
-    words = _WORD.findall(_URL.sub(" ", _ANCHOR.sub(" ", s)))
-    low = [w.lower() for w in words]
-    n, glue = len(words), _stop(low)
-    if anchors and glue < 3:
-        return "link", low
-    if urls and ((n <= 6 and glue < 3) or glue < max(2, 0.15 * n)):
-        return "link", low
-    if _META.search(s):
-        return "tag", low
-    tags = len(_HASHTAG.findall(s))
-    if (tags >= 2 and tags >= 0.5 * n) or (tags == 1 and n <= 1):
-        return "tag", low
+_CODE = re.compile(r"\b[A-Z]{2,5}-\d{2,7}\b")
+_DECIMAL = re.compile(r"\d\.\d")
+_UNSEEN = dict.fromkeys(map(ord, "​‌‍⁠﻿­"))
+_ENDS = ".!?:。？！"
+
+
+def _kind(segment: str, words: list[str]) -> int:
+    """Kind of a segment by its form alone: entry of a link list, product tags, free text, or other (numbers, records)."""
+    n = len(words)
+    ended = segment.rstrip("\"')”")[-1:] in _ENDS
+    sentence = n >= 5 and ended
+    bit = (_SENTENCE if sentence else 0) | (_ENDED if ended else 0)
+    low = segment.lower()
+    if "<a" in low or "](" in low:
+        if len(_ANCHOR.sub("", segment)) < 0.5 * len(segment):
+            return LINK
+    if "." in segment and not sentence:
+        urls = _URL.findall(segment)
+        if urls and (n <= 6 or sum(map(len, urls)) >= 0.5 * len(segment)):
+            return LINK
+    if "<meta" in low:
+        return TAG
+    if "#" in segment:
+        tags = len(_HASHTAG.findall(segment))
+        if tags and tags >= 0.5 * max(n, 1):
+            return TAG
     if n == 0:
-        return "other", low
-    if not s.isascii():
-        if len(_NO_SPACES.findall(s)) >= 3:
-            return "prose", low
-        letters = [c for c in s if c.isalpha()]
-        if letters and sum(c < "ɐ" for c in letters) < 0.5 * len(letters):
-            return "prose", low
-    if _CODE.search(s) and glue < max(2, 0.12 * n):
-        return "tag", low
-    if max(map(len, words)) >= 25:
-        return "other", low
-    entries = re.split(r",\s+", s)
-    worded = lambda e: any(w in FUNCTION_WORDS and w not in ARTICLES for w in e.lower().split())
-    lists = len(entries) >= 4 and sum(map(worded, entries[1:])) < len(entries) / 3
-    if len(entries) >= 4 and (lists or not dull):  # an enumeration with a clause before it belongs to a sentence
-        lead = [w.lower() for w in _WORD.findall(entries[0])]
-        if len(lead) >= 5 and _stop(lead) >= 2:
-            return "prose", low
-    if dull and not any(_ACCESSION.match(w) for w in words) and sum(c.isdigit() for c in s) < 0.1 * len(s):
-        pairs = Counter(zip(low, low[1:], strict=False))
-        if sum(c for c in pairs.values() if c > 1) >= 0.5 * (n - 1):  # collocations again and again
-            return "keywords", low
-    if len(entries) >= 3 and _LABEL.match(s) and glue <= 0.1 * n <= 0.4 * len(entries) and not any(_ACCESSION.match(w) for w in words):
-        return "tag", low
-    begins = s.lstrip(">\"'(*-•»#0123456789. ¿¡“")[:1].isupper()
-    sentence = begins and s.rstrip("\"')”")[-1:] in ".!?:"
-    if (glue >= 2 and glue >= 0.15 * n and n >= 5) or (glue >= 1 and sentence and (n >= 6 or (n >= 4 and glue >= 0.15 * n))):
-        return ("prose" if n > 10 or sentence else "fragment"), low
-    numbers = sum(any(c.isdigit() for c in w) for w in words)
-    if numbers >= 0.4 * n or (numbers and ("=" in s or s[-1:] == ".")) or any(_ACCESSION.match(w) for w in words):
-        return "other", low
-    return ("fragment" if glue >= 0.25 * n else "keywords"), low
-
-
-def spam_share(text: str | None) -> float:
-    """Share of the characters that belong to keywords, entries of link lists or product tags; 0 for null and blank.
-
-    Short fragments with function words ("price of X") count where a text permutes them, by a repeated opening whose
-    continuation also follows other openings, or repeats them as they are.
+        return OTHER
+    if "-" in segment:
+        codes = len(_CODE.findall(segment))
+        if codes and n <= 12 * codes:
+            return TAG
+    numbers = sum(w[0].isdigit() for w in words)
+    if any(not w[0].isdigit() and sum(map(str.isdigit, w)) >= 3 for w in words) or numbers >= 0.4 * n or (numbers and ("=" in segment or _DECIMAL.search(segment))) or max(map(len, words)) >= 25:
+        return OTHER | bit
+    return FREE | bit
+
+
+def segments(text: str) -> tuple[list[int], list[int], list[list[str]]]:
+    """(characters, kinds, words) of the lines, sentences and list entries of a text; markup of links holds no words."""
+    if "&" in text:
+        text = html.unescape(text)
+    if not text.isascii():
+        text = unicodedata.normalize("NFC", text.translate(_UNSEEN))
+    lengths, kinds, words = [], [], []
+    for part in _CUT.split(text):
+        part = part.strip()
+        if not part:
+            continue
+        bare = part
+        if "." in part or "<" in part or "](" in part:
+            bare = _URL.sub(" ", _ANCHOR.sub(" ", part))
+        found = _WORD.findall(bare.lower())
+        lengths.append(len(part))
+        kinds.append(_kind(part, found))
+        words.append(found)
+    return lengths, kinds, words
+
+
+class _Hasher(dict):
+    """64-bit hash of a word; numbers and identifiers (three digits or more) share one each."""
+
+    def __missing__(self, word: str) -> int:
+        import xxhash
+
+        if len(self) > 500_000:
+            self.clear()
+        if word[0].isdigit():
+            h = _NUMBER
+        elif sum(map(str.isdigit, word)) >= 3:
+            h = _IDENTIFIER
+        else:
+            h = xxhash.xxh64_intdigest(word.encode("utf-8", "replace"))
+            h = (h - (1 << 64) if h >= 1 << 63 else h) or 2
+            h = 2 if h == 1 else h
+        self[word] = h
+        return h
+
+
+_CUT_SCHEMA = "lengths array<int>, kinds array<tinyint>, counts array<int>, words array<bigint>"
+
+
+def _cut(batches: Iterator) -> Iterator:
+    """Segments and word hashes of each text; a row without a text (a copy of another) has none and is not ``once``."""
+    import pyarrow as pa
+
+    hashes = _Hasher()
+    for batch in batches:
+        out: tuple[list, list, list, list] = ([], [], [], [])
+        for text in batch.column("text").to_pylist():
+            lengths, kinds, words = segments(text or "")
+            out[0].append(lengths)
+            out[1].append(kinds)
+            out[2].append([len(w) for w in words])
+            out[3].append([hashes[w] for ws in words for w in ws])
+        types = (pa.int32(), pa.int8(), pa.int32(), pa.int64())
+        arrays = [pa.array(v, pa.list_(t)) for v, t in zip(out, types, strict=True)]
+        names = ["doc", "key", "once", "lengths", "kinds", "counts", "words"]
+        yield pa.RecordBatch.from_arrays([batch.column("doc"), batch.column("key"), batch.column("text").is_valid(), *arrays], names=names)
+
+
+# --- arrays over the words of many texts -----------------------------------------------------------------------------
+
+
+def _mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """64-bit hash of two numbers."""
+    with np.errstate(over="ignore"):
+        k = a.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + b.astype(np.uint64)
+        k = (k ^ (k >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+        return (k ^ (k >> np.uint64(29))).astype(np.int64)
+
+
+def _own(doc: np.ndarray, value: np.ndarray, weight: np.ndarray | None = None) -> np.ndarray:
+    """For each place, how often (or with what weight) its value occurs in its own text."""
+    _, inverse, counts = np.unique(_mix(value, doc), return_inverse=True, return_counts=True)
+    if weight is not None:
+        counts = np.bincount(inverse, weight, len(counts))
+    return counts[inverse]
+
+
+class _Words:
+    """Flat arrays over the words of a batch of texts that :func:`_cut` made."""
+
+    def __init__(self, batch):
+        flat = lambda c: batch.column(c).flatten().to_numpy(zero_copy_only=False)
+        sizes = lambda c: np.diff(batch.column(c).offsets.to_numpy())
+        self.n_docs = batch.num_rows
+        self.words, self.lengths = flat("words").astype(np.int64), flat("lengths").astype(np.int64)
+        kinds, self.counts = flat("kinds"), flat("counts").astype(np.int64)
+        self.kind, self.sentence, self.ended = kinds & 3, (kinds & _SENTENCE) > 0, (kinds & _ENDED) > 0
+        self.seg_doc = np.repeat(np.arange(self.n_docs), sizes("kinds"))
+        self.seg = np.repeat(np.arange(len(kinds)), self.counts)
+        self.doc = self.seg_doc[self.seg]
+        named = (self.words != _NUMBER) & (self.words != _IDENTIFIER)
+        self.free = (self.kind == FREE)[self.seg]
+        #: places of the second word of each pair of neighbours
+        self.right = 1 + np.flatnonzero((self.doc[1:] == self.doc[:-1]) & named[1:] & named[:-1])
+        self.a, self.b = self.words[self.right - 1], self.words[self.right]
+        self.pair = _mix(self.a, self.b)
+        #: places that count for the register of a word
+        self.placed = np.flatnonzero(self.free & named)
+
+
+def _count(batches: Iterator) -> Iterator:
+    """Partial corpus counts: (0, pair, a, b, n) and (1, word, in sentences, in lists, as left and right neighbour)."""
+    import pyarrow as pa
+
+    for batch in batches:
+        w = _Words(batch)
+        key, first, n = np.unique(w.pair, return_index=True, return_counts=True)
+        zero = np.zeros(len(key), np.int64)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(x) for x in (zero.astype(np.int8), key, w.a[first], w.b[first], n, zero, zero)], names=["what", "key", "a", "b", "n", "n_left", "n_right"]
+        )
+        words, place = np.unique(w.words, return_inverse=True)
+        sums = lambda at, weight=None: np.bincount(place[at], weight, len(words)).astype(np.int64)
+        in_sentence = w.sentence[w.seg[w.placed]].astype(float)
+        rows = (np.ones(len(words), np.int8), words, sums(w.placed, in_sentence), sums(w.placed, 1 - in_sentence), np.zeros(len(words), np.int64), sums(w.right - 1), sums(w.right))
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in rows], names=["what", "key", "a", "b", "n", "n_left", "n_right"])
+
+
+_COUNT_SCHEMA = "what tinyint, key bigint, a bigint, b bigint, n bigint, n_left bigint, n_right bigint"
+
+#: Tables of the most frequent pairs and words that every task holds: those above 1 / FREQUENT of all pairs (words), so
+#: at most FREQUENT entries each, however large the corpus; the rest is looked up by a join.
+FREQUENT = 2**16
+#: The PMI of a pair is cut to this size before means are taken, so no single rare pair decides.
+CLIP = 2.0
+#: Occurrences that a pair which no other text has is taken to have.
+UNSEEN_COUNT = 0.1
+#: Mean clipped PMI below which neighbouring words do not hang together.
+SALAD = 1.4
+#: Segments of a lower register may be keywords, if repetition and want of coherence outweigh the register by STUFFED.
+LISTED, STUFFED = 1.5, 0.7
+#: Texts of fewer words hold no keywords, nor do those below REPLY_WORDS with the end of a sentence (short replies).
+LEAST_WORDS, REPLY_WORDS = 6, 12
+#: Words over which the scores of a segment are averaged; a shorter one borrows those of the nearest segments of its
+#: text that, like itself, have LONG words or more, or fewer.
+WINDOW = 24
+LONG = 8
+
+
+@dataclass
+class _Frequent:
+    """Sorted keys and counts of the frequent pairs and words, and the number of all pairs."""
+
+    total: int
+    pairs: np.ndarray  # rows key, n, n_left, n_right
+    words: np.ndarray  # rows key, in sentences, in lists, n_left, n_right
+    cut: float  # every pair that is not in the table is met less often
+
+    @staticmethod
+    def find(table: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if table.shape[1] == 0:
+            return np.zeros(len(keys), bool), np.zeros(len(keys), np.int64)
+        at = np.minimum(np.searchsorted(table[0], keys), table.shape[1] - 1)
+        return table[0][at] == keys, at
+
+
+def _pmi(n: np.ndarray, left: np.ndarray, right: np.ndarray, total: int) -> np.ndarray:
+    """PMI of pairs from counts in other texts, cut to CLIP; UNSEEN_COUNT stands for none, and a pair of words that
+    other texts hardly know (nothing is expected of it) has the greatest value: no evidence against it."""
+    expected = np.maximum(left, 0) * np.maximum(right, 0) / max(total, 1)
+    with np.errstate(divide="ignore"):
+        return np.clip(np.log(np.where(n > 0, n, UNSEEN_COUNT)) - np.log(expected), -CLIP, CLIP)
+
+
+def _register(sentences: np.ndarray, lists: np.ndarray) -> np.ndarray:
+    """How much more a word is at home in sentences than in lists of other texts; 0 for an unknown word."""
+    return np.log((np.maximum(sentences, 0) + 1) / (np.maximum(lists, 0) + 1))
+
+
+class _Scores:
+    """PMI of each pair and register of each word of a batch, leaving out each text's own occurrences."""
+
+    def __init__(self, w: _Words, frequent: _Frequent):
+        self.w = w
+        doc = w.doc[w.right]
+        self.own_pair, self.own_left, self.own_right = _own(doc, w.pair), _own(doc, w.a), _own(doc, w.b)
+        known, at = frequent.find(frequent.pairs, w.pair)
+        _, n, left, right = frequent.pairs[:, at] if frequent.pairs.shape[1] else np.zeros((4, len(at)))
+        self.pmi = _pmi(n - self.own_pair, left - self.own_left, right - self.own_right, frequent.total)
+        # a rare pair of two frequent words is as loose as can be: its count cannot lift it above the lower limit
+        a_known, a_at = frequent.find(frequent.words, w.a)
+        b_known, b_at = frequent.find(frequent.words, w.b)
+        both = ~known & a_known & b_known
+        if both.any():
+            most = _pmi(np.full(int(both.sum()), frequent.cut), frequent.words[3][a_at[both]] - self.own_left[both], frequent.words[4][b_at[both]] - self.own_right[both], frequent.total)
+            sure = np.flatnonzero(both)[most <= -CLIP]
+            self.pmi[sure], known[sure] = -CLIP, True
+        self.ask_pairs = np.flatnonzero(~known)
+
+        placed = w.placed
+        in_sentence = w.sentence[w.seg[placed]].astype(float)
+        self.own_sentence, self.own_list = _own(w.doc[placed], w.words[placed], in_sentence), _own(w.doc[placed], w.words[placed], 1 - in_sentence)
+        known, at = frequent.find(frequent.words, w.words[placed])
+        counts = frequent.words[:, at] if frequent.words.shape[1] else np.zeros((5, len(at)))
+        self.register = _register(counts[1] - self.own_sentence, counts[2] - self.own_list)
+        self.ask_words = np.flatnonzero(~known)
+
+
+_ASK_SCHEMA = "text_key binary, what tinyint, key bigint, place int, own bigint, own_1 bigint, own_2 bigint"
+
+
+def _ask(frequent, batches: Iterator) -> Iterator:
+    """What the tables of frequent pairs and words do not answer, one row each with the text's own counts."""
+    import pyarrow as pa
+
+    for batch in batches:
+        w = _Words(batch)
+        s = _Scores(w, frequent.value)
+        ids = batch.column("key")
+        p, q = s.ask_pairs, s.ask_words
+        docs = np.concatenate([w.doc[w.right[p]], w.doc[w.placed[q]]])
+        own = np.concatenate([s.own_pair[p], np.zeros(len(q), np.int64)])
+        first, second = np.concatenate([s.own_left[p], s.own_sentence[q].astype(np.int64)]), np.concatenate([s.own_right[p], s.own_list[q].astype(np.int64)])
+        # places are counted from the first pair (word) of the text
+        start_p, start_q = np.searchsorted(w.doc[w.right], np.arange(w.n_docs)), np.searchsorted(w.doc[w.placed], np.arange(w.n_docs))
+        place = np.concatenate([p - start_p[w.doc[w.right[p]]], q - start_q[w.doc[w.placed[q]]]]).astype(np.int32)
+        what = np.concatenate([np.zeros(len(p), np.int8), np.ones(len(q), np.int8)])
+        keys = np.concatenate([w.pair[p], w.words[w.placed[q]]])
+        yield pa.RecordBatch.from_arrays(
+            [ids.take(pa.array(docs)), *(pa.array(x) for x in (what, keys, place, own, first, second))], names=["text_key", "what", "key", "place", "own", "own_1", "own_2"]
+        )
+
+
+def _verdict(frequent, batches: Iterator) -> Iterator:
+    """Keys of the texts of which more than half of the characters are spam."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    for batch in batches:
+        w = _Words(batch)
+        s = _Scores(w, frequent.value)
+        start = {0: np.searchsorted(w.doc[w.right], np.arange(w.n_docs)), 1: np.searchsorted(w.doc[w.placed], np.arange(w.n_docs))}
+        answers = batch.column("answers")
+        doc = np.repeat(np.arange(w.n_docs), pc.list_value_length(answers).fill_null(0).to_numpy(zero_copy_only=False))
+        flat = answers.flatten()
+        what, place, value = (flat.field(c).to_numpy(zero_copy_only=False) for c in ("what", "place", "value"))
+        for kind, target in ((0, s.pmi), (1, s.register)):
+            mine = what == kind
+            target[start[kind][doc[mine]] + place[mine]] = value[mine]
+        yield pa.RecordBatch.from_arrays([batch.column("key").filter(pa.array(spam_shares(w, s) > 0.5))], names=["key"])
+
+
+def spam_shares(w: _Words, s: _Scores) -> np.ndarray:
+    """Share of the characters of each text that belong to link entries, tags or keywords.
+
+    Scores of a segment are means over its words, or over WINDOW words at and around it where it is shorter: coherence (PMI of
+    neighbours), repetition (share of the pairs that the text has had before) and register. Keywords are segments that are
+    incoherent and no sentence (word salad), or that are at home in lists and repeat collocations or lack coherence.
+    A sentence that opens coherently is prose, whatever it lists.
+    """
+    # places of words in free segments; short segments stand side by side, apart from the longer ones of their text
+    at = np.flatnonzero(w.free)
+    group = 2 * w.doc[at] + (w.counts[w.seg[at]] >= LONG)
+    at, group = at[np.argsort(group, kind="stable")], np.sort(group)
+    order = np.full(len(w.words) + 1, -1, np.int64)
+    order[at] = np.arange(len(at))
+    sums = {name: np.zeros(len(at) + 1) for name in ("pmi", "repeated", "pairs", "register", "words")}
+
+    def fill(name: str, places: np.ndarray, values) -> None:
+        target = order[places]
+        inside = target >= 0
+        sums[name][1 + target[inside]] = values[inside] if isinstance(values, np.ndarray) else values
+
+    fill("pmi", w.right, s.pmi)
+    fill("repeated", w.right, 1 - 1 / s.own_pair)
+    fill("pairs", w.right, 1.0)
+    fill("register", w.placed, s.register)
+    fill("words", w.placed, 1.0)
+    total = {k: np.cumsum(v) for k, v in sums.items()}
+
+    free_seg = np.flatnonzero((w.kind == FREE) & (w.counts > 0))
+    first_word = np.concatenate([[0], np.cumsum(w.counts)])[:-1][free_seg] if len(free_seg) else np.zeros(0, np.int64)
+    low = order[first_word]
+    n = w.counts[free_seg]
+    high = low + n
+    mine = 2 * w.seg_doc[free_seg] + (n >= LONG)
+    doc_low, doc_high = np.searchsorted(group, mine, "left"), np.searchsorted(group, mine, "right")
+    pad = np.maximum(0, (WINDOW - n + 1) // 2)
+    left, right = np.maximum(low - pad, doc_low), np.minimum(high + pad, doc_high)
+    left = np.maximum(doc_low, left - np.maximum(0, high + pad - doc_high))
+    right = np.minimum(doc_high, right + np.maximum(0, doc_low - (low - pad)))
+
+    def mean(name: str, by: str, a: np.ndarray, b: np.ndarray, empty: float) -> np.ndarray:
+        top, bottom = total[name][b] - total[name][a], total[by][b] - total[by][a]
+        return np.where(bottom > 0, top / np.maximum(bottom, 1), empty)
+
+    coherence = mean("pmi", "pairs", left, right, CLIP)
+    repeated = mean("repeated", "pairs", left, right, 0.0)
+    register = mean("register", "words", left, right, 0.0)
+    lead = np.minimum(low + 4, high)
+    sentence = w.sentence[free_seg] & (n >= LONG)
+    opened = sentence & (mean("register", "words", low, lead, 0.0) > 1.0) & (mean("pmi", "pairs", np.minimum(low + 1, lead), lead, CLIP) > 0.5)
+    salad = (coherence < SALAD) & ~sentence
+    stuffed = (register < LISTED) & (2.5 * repeated + (CLIP - coherence) - register > STUFFED)
+    keywords = (salad | stuffed) & ~opened
+
+    hit = ((w.kind == LINK) | (w.kind == TAG)).astype(float)
+    hit[free_seg] = keywords
+    whole = np.bincount(w.seg_doc, w.lengths, w.n_docs)
+    listed = np.bincount(w.seg_doc, w.lengths * ((w.kind == LINK) | (w.kind == TAG)), w.n_docs)
+    keyed = np.bincount(w.seg_doc, w.lengths * hit, w.n_docs) - listed
+    words = np.bincount(w.seg_doc, w.counts, w.n_docs)
+    reply = (words < LEAST_WORDS) | ((words < REPLY_WORDS) & (np.bincount(w.seg_doc, w.ended, w.n_docs) > 0))
+    keyed = np.where(reply, 0.0, keyed)
+    return (listed + keyed) / np.maximum(whole, 1)
+
+
+
+def spam_pages(documents: DataFrame, doc_id: str, text: str, share: float = HOT_SHARE, floor: int = HOT_FLOOR) -> DataFrame:
+    """``doc_id`` of the pages more than half of whose characters are keywords, entries of link lists or tags.
+
+    Links and tags are told by their form. Keywords are told by corpus statistics: pairs and words are counted over all
+    distinct texts (copies count once, and a text's own occurrences are left out when it is judged), and a segment is
+    judged by the mean pointwise mutual information of its neighbouring words, by repeated collocations and by whether
+    its words live in sentences or in lists; see :func:`spam_shares`. No word list, so any language is judged alike;
+    words that no other text knows are evidence of nothing.
+
+    Null, empty and blank texts are no pages, rows without an id are left out, repeated rows come out as often as they
+    are there; an empty table gives no rows. Other columns are ignored.
     """
-    if not text or not text.strip():
-        return 0.0
-    segments = [(s.strip(), *segment_kind(s)) for s in _CUT.split(html.unescape(text) if "&" in text else text)[::2]]
-    opened: dict[tuple, set] = defaultdict(set)
-    times: Counter = Counter()
-    follows: dict[tuple, set] = defaultdict(set)
-    even = lambda words: [w if w.isalpha() else _DIGITS.sub("0", w) for w in words]
-    short = [even(words) for _, kind, words in segments if kind in ("fragment", "keywords", "prose") and 2 < len(words) <= 10]
-
-    def terms(words: list[str]) -> list[tuple]:
-        pairs = [p for p in zip(words[2:], words[3:], strict=False) if not _stop(list(p))]
-        return pairs + [(w,) for w in words[2:] if len(w) > 3 and w not in FUNCTION_WORDS]
-
-    whole_segments = Counter(tuple(w) for w in short)
-    for words in short:
-        start = tuple(words[:2])
-        times[start] += 1
-        opened[start].add(tuple(words[2:]))
-        for t in terms(words):
-            follows[t].add(start)
-    whole = sum(len(s) for s, _, _ in segments)
-    listed = keyed = n_words = 0
-    for s, kind, words in segments:
-        if kind in ("link", "tag"):
-            listed += len(s)
-        elif kind == "keywords":
-            keyed, n_words = keyed + len(s), n_words + len(words)
-        elif kind in ("fragment", "prose") and 2 < len(words) <= 10:
-            words = even(words)
-            start = tuple(words[:2])
-            others = 2 if len(opened[start]) >= 2 else 3
-            permuted = times[start] >= 2 and any(len(follows[t]) >= (others if len(t) == 2 else 3) for t in terms(words))
-            if permuted or (kind == "fragment" and whole_segments[tuple(words)] >= 3 and _stop(words) < 0.3 * len(words)):
-                keyed, n_words = keyed + len(s), n_words + len(words)
-    return (listed + (keyed if n_words >= LEAST_KEYWORDS else 0)) / max(whole, 1)
-
-
-# --- corpus statistics -------------------------------------------------------------------------------------------------
+    spark = documents.sparkSession
+    rows = documents.select(F.col(doc_id).alias("doc"), F.col(text).alias("text")).filter("doc is not null and trim(text) <> ''")
+    rows = rows.withColumn("key", F.unhex(F.md5("text"))).withColumn("row", F.struct("doc", F.monotonically_increasing_id().alias("i")))
+    hot = hot_keys(rows, key_hash("key"), rows.count(), share, floor)
+    first = with_group_min(rows, ["key"], "row", "first", hot)
+    once = first.select("doc", "key", F.when(F.col("row") == F.col("first"), F.col("text")).alias("text"))
+    made = materialize(once.mapInArrow(_cut, f"doc {dict(rows.dtypes)['doc']}, key binary, once boolean, {_CUT_SCHEMA}"), "cut")
+    cut = made.filter("once").drop("doc", "once")
+
+    counts = cut.drop("key").mapInArrow(_count, _COUNT_SCHEMA).groupBy("what", "key")
+    counts = materialize(counts.agg(F.max("a").alias("a"), F.max("b").alias("b"), *(F.sum(c).alias(c) for c in ("n", "n_left", "n_right"))), "corpus")
+    total, n_pairs, n_words = counts.agg(
+        F.coalesce(F.sum(F.when(F.col("what") == 0, F.col("n"))), F.lit(0)), F.count_if(F.col("what") == 0), F.coalesce(F.sum(F.when(F.col("what") == 1, F.col("a") + F.col("b"))), F.lit(0))
+    ).first()
+    pairs, words = counts.filter("what = 0").select("key", "a", "b", "n"), counts.filter("what = 1").drop("what", "n")
+    stats = pairs
+    for side, name in (("a", "n_left"), ("b", "n_right")):
+        table = words.select(F.col("key").alias(side), name)
+        stats = lookup(stats, table, side, [name], hot_keys(pairs, side, n_pairs, share, floor))
+    stats = materialize(stats.select(F.lit(0).cast("tinyint").alias("what"), "key", F.col("n").alias("c1"), F.col("n_left").alias("c2"), F.col("n_right").alias("c3")), "pair-counts")
+    word_counts = words.select(F.lit(1).cast("tinyint").alias("what"), "key", F.col("a").alias("c1"), F.col("b").alias("c2"), F.lit(0).cast("bigint").alias("c3"))
+
+    # at most FREQUENT rows each, as all counts sum to the total they are compared with
+    top = stats.filter(F.col("c1") >= total / FREQUENT).drop("what").toPandas()
+    most = words.filter(F.col("a") + F.col("b") >= n_words / FREQUENT).toPandas()
+    as_table = lambda pdf: np.ascontiguousarray(pdf.sort_values("key").to_numpy(np.int64).T)
+    frequent = spark.sparkContext.broadcast(_Frequent(total, as_table(top), as_table(most), total / FREQUENT))
+
+    asked = cut.mapInArrow(lambda batches: _ask(frequent, batches), _ASK_SCHEMA)
+    held = asked.join(stats.unionByName(word_counts), ["what", "key"])
+    n, left, right = (F.greatest(F.col(f"c{i + 1}") - F.col(o), F.lit(0)) for i, o in enumerate(("own", "own_1", "own_2")))
+    expected = left * right / F.lit(float(max(total, 1)))
+    pmi = F.when(expected > 0, F.greatest(F.lit(-CLIP), F.least(F.lit(CLIP), F.log(F.when(n > 0, n.cast("double")).otherwise(UNSEEN_COUNT)) - F.log(expected)))).otherwise(CLIP)
+    register = F.log((F.greatest(F.col("c1") - F.col("own_1"), F.lit(0)) + 1) / (F.greatest(F.col("c2") - F.col("own_2"), F.lit(0)) + 1))
+    answers = held.select("text_key", "what", "place", F.when(F.col("what") == 0, pmi).otherwise(register).alias("value"))
+    answers = answers.groupBy(F.col("text_key").alias("key")).agg(F.collect_list(F.struct("what", "place", "value")).alias("answers"))
+    found = materialize(cut.join(answers, "key", "left").mapInArrow(lambda batches: _verdict(frequent, batches), "key binary"), "spam")
+
+    hottest = is_hot(key_hash("key"), hot)
+    rest = made.filter(~hottest).join(found.filter(~hottest), "key").select("doc")
+    if hot:  # at most 1 / share texts
+        rest = rest.unionByName(made.filter(hottest).join(F.broadcast(found.filter(hottest)), "key").select("doc"))
+    return rest.withColumnRenamed("doc", doc_id)
+
+
+# --- coherence of whole documents, as a report ------------------------------------------------------------------------
 
 
 def word_stream(text: Column) -> Column:
@@ -207,18 +493,3 @@ def coherence(
         (F.sum(F.when(F.col("pmi") < LOOSE, F.col("n")).otherwise(0)) / weight).alias("loose"),
         (F.sum(F.when((F.col("n") >= 3) & (F.col("pmi") > 0), F.col("n")).otherwise(0)) / weight).alias("repeated"),
     )
-
-
-def spam_pages(documents: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """``doc_id`` of the pages more than half of whose characters are keywords, link lists or tags.
-
-    Every text is counted character by character, so the answer for a page depends on nothing but its text: neither on
-    its copies nor on the rest of the corpus. Null, empty and blank texts are no pages.
-    """
-    rows = documents.select(doc_id, text).filter(F.length(F.trim(F.col(text))) > 0)
-
-    def count(batches):
-        for pdf in batches:
-            yield pdf[pdf[text].map(spam_share) > 0.5][[doc_id]]
-
-    return rows.mapInPandas(count, f"{doc_id} {dict(documents.dtypes)[doc_id]}")

@@ -356,31 +356,56 @@ CLEAN = [
 ]
 
 
-@pytest.mark.parametrize("text", SPAM)
-def test_spam_share(text):
-    assert spam.spam_share(text) > 0.5
-    assert spam.spam_share(PROSE * 6 + "\n" + text[:120]) < 0.5
-
-
-@pytest.mark.parametrize("text", CLEAN)
-def test_clean_share(text):
-    assert spam.spam_share(text) <= 0.5
+FOREIGN_PROSE = [
+    "Tutkimus osoittaa, että proteiini sitoutuu kalvoon vasta lämpötilan noustessa. Emme tiedä, miksi signaali katoaa toisen pesun jälkeen. Näytteet säilytettiin jääkaapissa yön yli.",
+    "Badanie pokazuje, że białko wiąże się z błoną dopiero po podniesieniu temperatury. Nie wiemy jednak, dlaczego sygnał znika po drugim płukaniu. Próbki przechowywano przez noc w lodówce.",
+    "Çalışma, proteinin zara ancak sıcaklık yükseldiğinde bağlandığını gösteriyor. Sinyalin ikinci yıkamadan sonra neden kaybolduğunu bilmiyoruz. Örnekler gece boyunca buzdolabında saklandı.",
+    "Studien visar att proteinet binder till membranet först när temperaturen stiger. Vi vet inte varför signalen försvinner efter den andra tvätten. Proverna förvarades i kylskåp över natten.",
+    "研究表明，温度升高后蛋白质才与膜结合。我们不知道为什么信号在第二次洗涤后消失。样品在冰箱中保存过夜。",
+]
+FOREIGN_SPAM = [
+    "便宜 蛋白 试剂盒 | 购买 蛋白 试剂盒 | 蛋白 试剂盒 价格 | 便宜 蛋白 试剂盒 | 购买 蛋白 试剂盒 | 蛋白 试剂盒 价格 | 便宜 蛋白 试剂盒",
+    "купить набор белков дешево, набор белков цена, набор белков купить онлайн, дешево набор белков, лучший набор белков, набор белков доставка, купить набор белков",
+    "αγορά κιτ πρωτεΐνης φθηνά | κιτ πρωτεΐνης τιμή | κιτ πρωτεΐνης online | φθηνά κιτ πρωτεΐνης | καλύτερο κιτ πρωτεΐνης | κιτ πρωτεΐνης προσφορά",
+]
 
 
-def test_spam_pages(spark):
-    texts = SPAM * 3 + CLEAN + [PROSE] * 10
-    df = spark.createDataFrame([(i, t, 1) for i, t in enumerate(texts)], "doc_id bigint, text string, n int").repartition(3)
-    got = {r[0] for r in spam.spam_pages(df, "doc_id", "text").collect()}
-    assert got >= {i for i, t in enumerate(texts) if t in SPAM[2:7]} and not any(texts[i] in CLEAN for i in got)
-    assert spam.spam_pages(df.limit(0), "doc_id", "text").count() == 0
+@pytest.fixture(scope="module")
+def crawl(spark):
+    """Texts that give the corpus its counts; the texts to be judged are added under ids below 0."""
+    return spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text", "lang")
 
 
 @pytest.mark.parametrize("copies", [1, 20])
-def test_spam_pages_do_not_depend_on_copies(spark, copies):
-    texts = SPAM * copies + CLEAN + [PROSE] * 10
-    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3)
-    got = {r[0] for r in spam.spam_pages(df, "doc_id", "text").collect()}
-    assert got == {i for i, t in enumerate(texts) if t in SPAM}
+def test_spam_pages(spark, crawl, copies):
+    """Every kind of page in any language is found, no prose is, and copies change nothing."""
+    spam_texts, clean = SPAM + FOREIGN_SPAM, CLEAN + FOREIGN_PROSE + [PROSE * 6 + "\n" + t[:120] for t in SPAM]
+    texts = spam_texts * copies + clean
+    added = spark.createDataFrame([(-i - 1, t, None) for i, t in enumerate(texts)], "doc_id bigint, text string, lang string").repartition(3)
+    got = {-r[0] - 1 for r in spam.spam_pages(crawl.unionByName(added), "doc_id", "text", share=0.002, floor=15).filter("doc_id < 0").collect()}
+    assert {texts[i] for i in range(len(texts)) if (i in got) != (i < len(spam_texts) * copies)} == set()
+
+
+def test_spam_pages_of_few_texts(spark):
+    """Without a corpus, form and repetition are left as evidence; a foreign text is still no spam."""
+    texts = [*CLEAN, *FOREIGN_PROSE, *FOREIGN_SPAM, SPAM[2], SPAM[3], SPAM[4]]
+    df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id int, text string, doc string")
+    got = [r[0] for r in spam.spam_pages(df.unionByName(df), "doc_id", "text").collect()]
+    want = range(len(CLEAN) + len(FOREIGN_PROSE), len(texts))
+    assert sorted(got) == sorted([*want, *want])  # repeated rows come out repeated
+    assert spam.spam_pages(df.limit(0), "doc_id", "text").count() == 0
+    nameless = spark.createDataFrame([(None, SPAM[3]), (1, SPAM[3])], "doc_id int, text string")
+    assert [r[0] for r in spam.spam_pages(nameless, "doc_id", "text").collect()] == [1]
+
+
+def test_rare_pairs_are_looked_up_exactly(spark, crawl, monkeypatch):
+    """Whether counts come from the tables of frequent pairs and words or from the join makes no difference."""
+    some = crawl.filter("doc_id % 20 = 3")
+    found = []
+    for most in (2**22, 300, 1):
+        monkeypatch.setattr(spam, "FREQUENT", most)
+        found.append(sorted(r[0] for r in spam.spam_pages(some, "doc_id", "text").collect()))
+    assert found[0] and found[0] == found[1] == found[2]
 
 
 @pytest.mark.parametrize("floor", [3, 10**9])
