@@ -9,102 +9,195 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.skew import HOT_FLOOR, HOT_SHARE, hot_keys, is_hot, key_hash, lookup, with_group_min
 from ..session import materialize
 
-# --- segments and words of a text ------------------------------------------------------------------------------------
+# --- segments and words of many texts --------------------------------------------------------------------------------
 
 FREE, LINK, TAG, OTHER = range(4)
 _SENTENCE, _ENDED = 4, 8  # bits beside the kind: a sentence of five words or more; any segment with the end of one
 _NUMBER, _IDENTIFIER = 0, 1  # hashes that stand for any number and any identifier
 
 _URL = re.compile(
-    r"(?:[a-z]{3,6}://|\bwww\.)[^\s<>\"')\]|]+|\b[\w-]+(?:\.[\w-]+)+/[^\s<>\"')\]|]*|\b[a-z\d-]+(?:\.[a-z\d-]+)*\.[a-z]{2,24}\b(?![(.])", re.I
+    r"(?:[a-z]{3,6}://|\bwww\.)[^\s<>\"')\]|]+|\b[\w-]+(?:\.[\w-]+)+/[^\s<>\"')\]|]*|\b[a-z\d-]+(?:\.[a-z\d-]+)*\.[a-z]{2,24}\b(?![.(])", re.I
 )
+_DOTTED = re.compile(r"\.[^\W\d_]")
 _ANCHOR = re.compile(r"<a\s[^>]*>.*?</a>|\[[^\]\n]*\]\([^)\s]*\)", re.I | re.S)
-_CUT = re.compile(r"(?<=[.!?。？！])\s+|[\r\n]+|<br\s*/?>|\s[|»•/–-]\s+|\s*[|»•]\s*|(?:^|\s)\*\s+|;\s+")
-_WORD = re.compile(r"[^\W\d_][\w'’]*(?:-\w+)*|\d+(?:[.,]\d+)*")
 _HASHTAG = re.compile(r"(?:^|\s)#\w+")
 _CODE = re.compile(r"\b[A-Z]{2,5}-\d{2,7}\b")
-_DECIMAL = re.compile(r"\d\.\d")
-_UNSEEN = dict.fromkeys(map(ord, "​‌‍⁠﻿­"))
-_ENDS = ".!?:。？！"
-
-
-def _kind(segment: str, words: list[str]) -> int:
-    """Kind of a segment by its form alone: entry of a link list, product tags, free text, or other (numbers, records)."""
-    n = len(words)
-    ended = segment.rstrip("\"')”")[-1:] in _ENDS
-    sentence = n >= 5 and ended
-    bit = (_SENTENCE if sentence else 0) | (_ENDED if ended else 0)
-    low = segment.lower()
-    if "<a" in low or "](" in low:
-        if len(_ANCHOR.sub("", segment)) < 0.5 * len(segment):
-            return LINK
-    if "." in segment and not sentence:
-        urls = _URL.findall(segment)
-        if urls and (n <= 6 or sum(map(len, urls)) >= 0.5 * len(segment)):
-            return LINK
-    if "<meta" in low:
-        return TAG
-    if "#" in segment:
-        tags = len(_HASHTAG.findall(segment))
-        if tags and tags >= 0.5 * max(n, 1):
-            return TAG
-    if n == 0:
-        return OTHER
-    if "-" in segment:
-        codes = len(_CODE.findall(segment))
-        if codes and n <= 12 * codes:
-            return TAG
-    numbers = sum(w[0].isdigit() for w in words)
-    if any(not w[0].isdigit() and sum(map(str.isdigit, w)) >= 3 for w in words) or numbers >= 0.4 * n or (numbers and ("=" in segment or _DECIMAL.search(segment))) or max(map(len, words)) >= 25:
-        return OTHER | bit
-    return FREE | bit
-
-
-def segments(text: str) -> tuple[list[int], list[int], list[list[str]]]:
-    """(characters, kinds, words) of the lines, sentences and list entries of a text; markup of links holds no words."""
+_UNSEEN = re.compile("[\u200b\u200c\u200d\u2060\ufeff\u00ad]")
+_ENDS, _CLOSES, _BARS, _DASHES = ".!?:。？！", "\"')”", "|»•", "/–-"
+_CUT = re.compile(r"(?<=[.!?。？！])\s+|[\r\n|»•]|<br\s*/?>|(?:(?<=\s)|^)[/–*-](?=\s)|;(?=\s)")
+_WORD = re.compile(r"[^\W_](?:[\w'’]|-(?=\w)|(?<=\d)[.,](?=\d))*")
+_BLANK = "\x01"  # stands for a segment that holds nothing but markup
+
+_ALNUM, _UNDER, _DECIMAL, _SPACE, _APOSTROPHE, _END, _CLOSE, _FULL, _LINE, _BAR, _DASH, _SEMICOLON, _HYPHEN, _POINT, _EQUALS = (1 << i for i in range(15))
+_CLASSES: list = []
+_POWERS: list = []
+#: Characters that are worked on at once; arrays of this length stay in the cache.
+_SLICE = 1 << 18
+
+
+def _classes() -> np.ndarray:
+    """Classes of all code points, made once in each process."""
+    if not _CLASSES:
+        table = np.zeros(0x110000, np.uint16)
+        for i in range(0x110000):
+            c = chr(i)
+            if c.isalnum():
+                table[i] = _ALNUM | (_DECIMAL if c.isdecimal() else 0)
+            elif c.isspace():
+                table[i] = _SPACE
+        marks = (("_", _UNDER), ("'’", _APOSTROPHE), (_ENDS, _END), (_CLOSES, _CLOSE), (_ENDS.replace(":", ""), _FULL), ("\r\n", _LINE))
+        for chars, bit in (*marks, (_BARS, _BAR), (_DASHES + "*", _DASH), (";", _SEMICOLON), ("-", _HYPHEN), (".,", _POINT), ("=", _EQUALS)):
+            for c in chars:
+                table[ord(c)] |= bit
+        _CLASSES.append(table)
+    return _CLASSES[0]
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd number and of its inverse, modulo 2**64."""
+    if not _POWERS or len(_POWERS[0]) < n:
+        base = 0x9E3779B97F4A7C15
+        pair = (base, pow(base, -1, 1 << 64))
+        _POWERS[:] = [np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(2 * n, x, np.uint64))]) for x in pair]
+    return _POWERS[0], _POWERS[1]
+
+
+def _forced(part: str) -> tuple[int, str]:
+    """(kind that markup, addresses, hashtags or product codes give a segment, else FREE; the segment without markup)."""
+    low, bare = part.lower(), part
+    if "<" in part or "](" in part:
+        bare = _ANCHOR.sub(" ", part)
+        if len(bare) < 0.5 * len(part) and ("<a" in low or "](" in part):
+            return LINK, bare
+    urls = _URL.findall(bare) if "." in bare or "://" in bare else []
+    bare = _URL.sub(" ", bare) if urls else bare
+    tags = len(_HASHTAG.findall(part)) if "#" in part else 0
+    codes = len(_CODE.findall(part)) if "-" in part else 0
+    if not (urls or tags or codes or "<meta" in low):
+        return FREE, bare
+    n = len(_WORD.findall(bare))
+    if urls and not (n >= 5 and part.rstrip(_CLOSES)[-1:] in _ENDS) and (n <= 6 or sum(map(len, urls)) >= 0.5 * len(part)):
+        return LINK, bare
+    if "<meta" in low or (tags and tags >= 0.5 * max(n, 1)) or (codes and n <= 12 * codes):
+        return TAG, bare
+    return FREE, bare
+
+
+def _prepared(text: str) -> tuple[str, list | None]:
+    """(text as it is cut by characters, None), or for a text with markup its cut segments and [(length, kind)]."""
     if "&" in text:
         text = html.unescape(text)
     if not text.isascii():
-        text = unicodedata.normalize("NFC", text.translate(_UNSEEN))
-    lengths, kinds, words = [], [], []
-    for part in _CUT.split(text):
+        text = unicodedata.normalize("NFC", _UNSEEN.sub("", text))
+    if not ("<" in text or "#" in text or "](" in text or "://" in text or _DOTTED.search(text) or _CODE.search(text)):
+        return text.lower().replace("\0", " "), None
+    bare, known = [], []
+    for part in _CUT.split(text + "\n"):  # the end of a text is the end of a line
         part = part.strip()
-        if not part:
-            continue
-        bare = part
-        if "." in part or "<" in part or "](" in part:
-            bare = _URL.sub(" ", _ANCHOR.sub(" ", part))
-        found = _WORD.findall(bare.lower())
-        lengths.append(len(part))
-        kinds.append(_kind(part, found))
-        words.append(found)
-    return lengths, kinds, words
-
-
-class _Hasher(dict):
-    """64-bit hash of a word; numbers and identifiers (three digits or more) share one each."""
-
-    def __missing__(self, word: str) -> int:
-        import xxhash
-
-        if len(self) > 500_000:
-            self.clear()
-        if word[0].isdigit():
-            h = _NUMBER
-        elif sum(map(str.isdigit, word)) >= 3:
-            h = _IDENTIFIER
-        else:
-            h = xxhash.xxh64_intdigest(word.encode("utf-8", "replace"))
-            h = (h - (1 << 64) if h >= 1 << 63 else h) or 2
-            h = 2 if h == 1 else h
-        self[word] = h
-        return h
+        if part:
+            kind, rest = _forced(part)
+            known.append((len(part), kind))
+            bare.append(rest.lower().replace("\0", " ").strip() or _BLANK)
+    return "\0".join(bare), known
+
+
+def cut_texts(texts: list[str]) -> tuple[np.ndarray, ...]:
+    """(segments per text; per segment: characters, kind and words; hash per word) of lines, sentences and list entries.
+
+    All characters of a batch are classified and cut at once. A word is a run of letters, digits and inner marks; its
+    hash is a polynomial in its code points, and numbers and identifiers (three digits or more) share one hash each.
+    """
+    out: list[tuple] = []
+    start, size, prepared = 0, 0, []
+    for i, text in enumerate(texts):
+        prepared.append(_prepared(text))
+        size += len(prepared[-1][0])
+        if size >= _SLICE or i + 1 == len(texts):
+            out.append(_cut_slice(prepared))
+            start, size, prepared = i + 1, 0, []
+    if not out:
+        return tuple(np.zeros(0, np.int64) for _ in range(5))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
+def _cut_slice(prepared: list[tuple[str, list | None]]) -> tuple[np.ndarray, ...]:
+    text = "\n".join(t for t, _ in prepared) + "\n"
+    c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    sizes = np.array([len(t) + 1 for t, _ in prepared])
+    ends = np.cumsum(sizes)
+    cls = _classes()[c]
+    has = lambda bit: (cls & bit) > 0
+    space, digit = has(_SPACE), has(_DECIMAL)
+    before = lambda x, first=False: np.concatenate([[first], x[:-1]])
+    after = lambda x: np.concatenate([x[1:], [False]])
+
+    # segments: runs between separators; texts with markup come cut
+    free = np.repeat(np.array([known is None for _, known in prepared]), sizes)
+    opening, closing = before(space, True), after(space)
+    gap = has(_LINE | _BAR) | (space & before(has(_FULL))) | (opening & closing & has(_DASH)) | (closing & has(_SEMICOLON))
+    gap = np.where(free, gap, c == 0)
+    gap[ends - 1] = True
+    solid = ~gap & ~space
+    # the first and last solid character of each run
+    run = np.cumsum(gap)
+    at = np.flatnonzero(solid)
+    first_of = np.flatnonzero(np.concatenate([[True], run[at][1:] != run[at][:-1]])) if len(at) else np.zeros(0, np.int64)
+    seg_first = at[first_of]
+    seg_last = at[np.concatenate([first_of[1:], [len(at)]]) - 1] if len(at) else seg_first
+    seg_doc = np.searchsorted(ends, seg_first, "right")
+    n_segments = np.bincount(seg_doc, minlength=len(prepared))
+    n = len(seg_first)
+
+    # words: runs of word characters, from their first letter or digit on
+    word = has(_ALNUM | _UNDER)
+    point = has(_POINT) & before(digit) & after(digit)
+    inner = word | has(_APOSTROPHE) | (has(_HYPHEN) & after(word)) | point
+    inner &= ~gap
+    fresh = inner & ~before(inner)
+    named = inner & has(_ALNUM)
+    place = np.cumsum(fresh)
+    head = np.flatnonzero(named)
+    head = head[np.concatenate([[True], place[head][1:] != place[head][:-1]])] if len(head) else head
+    stops = np.flatnonzero(inner & ~after(inner)) + 1
+    tail = stops[np.searchsorted(stops, head, "right")] if len(head) else head
+    powers, inverse = _powers(len(c))
+    with np.errstate(over="ignore"):
+        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum((c.astype(np.uint64) + np.uint64(1)) * powers[: len(c)])])
+        h = (total[tail] - total[head]) * inverse[head]
+        h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+        h = (h ^ (h >> np.uint64(29))).astype(np.int64)
+    h = np.where((h == _NUMBER) | (h == _IDENTIFIER), 2, h)
+    digits = np.concatenate([[0], np.cumsum(digit)])
+    numeric, many = digit[head], digits[tail] - digits[head] >= 3
+    words = np.where(numeric, _NUMBER, np.where(many, _IDENTIFIER, h))
+
+    # kinds
+    seg_of = np.searchsorted(seg_first, head, "right") - 1
+    count = np.bincount(seg_of, minlength=n)
+    numbers, identifiers = np.bincount(seg_of, numeric, n), np.bincount(seg_of, many & ~numeric, n)
+    longest = np.zeros(n, np.int64)
+    np.maximum.at(longest, seg_of, tail - head)
+    inside = lambda flags: (lambda t: t[seg_last + 1] > t[seg_first])(np.concatenate([[0], np.cumsum(flags)]))
+    figures = inside(has(_EQUALS) | (point & (c == ord("."))))
+    trimmed = np.flatnonzero(solid & ~has(_CLOSE))
+    last = trimmed[np.maximum(np.searchsorted(trimmed, seg_last, "right") - 1, 0)] if len(trimmed) else seg_last
+    ended = has(_END)[last] & (last >= seg_first) if n else np.zeros(0, bool)
+    other = (count == 0) | (identifiers > 0) | ((numbers > 0) & ((numbers >= 0.4 * count) | figures)) | (longest >= 25)
+    kinds, lengths = np.where(other, OTHER, FREE), seg_last - seg_first + 1
+    marked = np.flatnonzero(~free[seg_first]) if n else np.zeros(0, np.int64)
+    if len(marked):
+        known = np.array([x for _, k in prepared if k is not None for x in k], np.int64).reshape(-1, 2)
+        lengths[marked] = known[:, 0]
+        kinds[marked] = np.where(known[:, 1] == FREE, kinds[marked], known[:, 1])
+    kinds = kinds | np.where(ended, _ENDED, 0) | np.where(ended & (count >= 5), _SENTENCE, 0)
+    return n_segments, lengths, kinds, count, words
 
 
 _CUT_SCHEMA = "lengths array<int>, kinds array<tinyint>, counts array<int>, words array<bigint>"
@@ -114,17 +207,12 @@ def _cut(batches: Iterator) -> Iterator:
     """Segments and word hashes of each text; a row without a text (a copy of another) has none and is not ``once``."""
     import pyarrow as pa
 
-    hashes = _Hasher()
     for batch in batches:
-        out: tuple[list, list, list, list] = ([], [], [], [])
-        for text in batch.column("text").to_pylist():
-            lengths, kinds, words = segments(text or "")
-            out[0].append(lengths)
-            out[1].append(kinds)
-            out[2].append([len(w) for w in words])
-            out[3].append([hashes[w] for ws in words for w in ws])
-        types = (pa.int32(), pa.int8(), pa.int32(), pa.int64())
-        arrays = [pa.array(v, pa.list_(t)) for v, t in zip(out, types, strict=True)]
+        sizes, lengths, kinds, counts, words = cut_texts([t or "" for t in batch.column("text").to_pylist()])
+        ends = np.concatenate([[0], np.cumsum(sizes)])
+        word_ends = np.concatenate([[0], np.cumsum(counts)])[ends]
+        lists = lambda x, at, t: pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(x, t))
+        arrays = [lists(lengths, ends, pa.int32()), lists(kinds, ends, pa.int8()), lists(counts, ends, pa.int32()), lists(words, word_ends, pa.int64())]
         names = ["doc", "key", "once", "lengths", "kinds", "counts", "words"]
         yield pa.RecordBatch.from_arrays([batch.column("doc"), batch.column("key"), batch.column("text").is_valid(), *arrays], names=names)
 
@@ -140,12 +228,10 @@ def _mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return (k ^ (k >> np.uint64(29))).astype(np.int64)
 
 
-def _own(doc: np.ndarray, value: np.ndarray, weight: np.ndarray | None = None) -> np.ndarray:
-    """For each place, how often (or with what weight) its value occurs in its own text."""
-    _, inverse, counts = np.unique(_mix(value, doc), return_inverse=True, return_counts=True)
-    if weight is not None:
-        counts = np.bincount(inverse, weight, len(counts))
-    return counts[inverse]
+def _own(doc: np.ndarray, value: np.ndarray) -> np.ndarray:
+    """For each place, how often its value occurs in its own text."""
+    inverse, _ = pd.factorize(_mix(value, doc))
+    return np.bincount(inverse)[inverse] if len(inverse) else np.zeros(0, np.int64)
 
 
 class _Words:
@@ -167,6 +253,9 @@ class _Words:
         self.right = 1 + np.flatnonzero((self.doc[1:] == self.doc[:-1]) & named[1:] & named[:-1])
         self.a, self.b = self.words[self.right - 1], self.words[self.right]
         self.pair = _mix(self.a, self.b)
+        #: a number for each (text, word), and how many there are
+        codes, kinds_of = pd.factorize(_mix(self.words, self.doc))
+        self.codes = codes, len(kinds_of)
         #: places that count for the register of a word
         self.placed = np.flatnonzero(self.free & named)
 
@@ -246,7 +335,10 @@ class _Scores:
     def __init__(self, w: _Words, frequent: _Frequent):
         self.w = w
         doc = w.doc[w.right]
-        self.own_pair, self.own_left, self.own_right = _own(doc, w.pair), _own(doc, w.a), _own(doc, w.b)
+        self.own_pair = _own(doc, w.pair)
+        code, n_codes = w.codes
+        sums = lambda at, weight=None: np.bincount(code[at], weight, n_codes)
+        self.own_left, self.own_right = sums(w.right - 1)[code[w.right - 1]], sums(w.right)[code[w.right]]
         known, at = frequent.find(frequent.pairs, w.pair)
         _, n, left, right = frequent.pairs[:, at] if frequent.pairs.shape[1] else np.zeros((4, len(at)))
         self.pmi = _pmi(n - self.own_pair, left - self.own_left, right - self.own_right, frequent.total)
@@ -262,7 +354,7 @@ class _Scores:
 
         placed = w.placed
         in_sentence = w.sentence[w.seg[placed]].astype(float)
-        self.own_sentence, self.own_list = _own(w.doc[placed], w.words[placed], in_sentence), _own(w.doc[placed], w.words[placed], 1 - in_sentence)
+        self.own_sentence, self.own_list = sums(placed, in_sentence)[code[placed]], sums(placed, 1 - in_sentence)[code[placed]]
         known, at = frequent.find(frequent.words, w.words[placed])
         counts = frequent.words[:, at] if frequent.words.shape[1] else np.zeros((5, len(at)))
         self.register = _register(counts[1] - self.own_sentence, counts[2] - self.own_list)
@@ -283,7 +375,7 @@ def _ask(frequent, batches: Iterator) -> Iterator:
         p, q = s.ask_pairs, s.ask_words
         docs = np.concatenate([w.doc[w.right[p]], w.doc[w.placed[q]]])
         own = np.concatenate([s.own_pair[p], np.zeros(len(q), np.int64)])
-        first, second = np.concatenate([s.own_left[p], s.own_sentence[q].astype(np.int64)]), np.concatenate([s.own_right[p], s.own_list[q].astype(np.int64)])
+        first, second = np.concatenate([s.own_left[p], s.own_sentence[q]]).astype(np.int64), np.concatenate([s.own_right[p], s.own_list[q]]).astype(np.int64)
         # places are counted from the first pair (word) of the text
         start_p, start_q = np.searchsorted(w.doc[w.right], np.arange(w.n_docs)), np.searchsorted(w.doc[w.placed], np.arange(w.n_docs))
         place = np.concatenate([p - start_p[w.doc[w.right[p]]], q - start_q[w.doc[w.placed[q]]]]).astype(np.int32)

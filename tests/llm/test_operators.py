@@ -7,6 +7,8 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from pairloom.llm import calibrate, dedup, mixture, overlap, spam, stable_sample, tokenize
@@ -370,6 +372,25 @@ FOREIGN_SPAM = [
 ]
 
 
+def _cut_by_regex(text):
+    """Segments as (characters, words) by the regular expressions that define them."""
+    prepared, known = spam._prepared(text)
+    parts = prepared.split("\0") if known else [] if known == [] else [p.strip() for p in spam._CUT.split(prepared + "\n") if p.strip()]
+    lengths = [n for n, _ in known] if known is not None else [len(p) for p in parts]
+    return [(n, len(spam._WORD.findall(p))) for n, p in zip(lengths, parts, strict=True)]
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.text(st.sampled_from("aBß三µ1٣² _-'’.,;:!?。|»•/*#<>=@\n\t\u00a0\u200b\0")), max_size=6))
+def test_texts_are_cut_like_the_expressions_say(texts):
+    texts += ["see https://a.example/b now", "<a href='x'>y</a> | z", "It's 3-mer, 1,000.5 or k-mer; end. Next", "SKU ABC-123 kit"]
+    sizes, lengths, _, counts, words = spam.cut_texts(texts)
+    want = [_cut_by_regex(t) for t in texts]
+    assert sizes.tolist() == [len(w) for w in want]
+    assert list(zip(lengths.tolist(), counts.tolist(), strict=True)) == [x for w in want for x in w]
+    assert len(words) == counts.sum()
+
+
 @pytest.fixture(scope="module")
 def crawl(spark):
     """Texts that give the corpus its counts; the texts to be judged are added under ids below 0."""
