@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import html
+import math
 import re
 import unicodedata
 from collections.abc import Iterator
@@ -307,6 +308,7 @@ class _Frequent:
     pairs: np.ndarray  # rows key, n, n_left, n_right
     words: np.ndarray  # rows key, in sentences, in lists, n_left, n_right
     cut: float  # every pair that is not in the table is met less often
+    most_register: float  # no word that is not in the table has a register of greater size
 
     @staticmethod
     def find(table: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -361,29 +363,47 @@ class _Scores:
         self.ask_words = np.flatnonzero(~known)
 
 
-_ASK_SCHEMA = "text_key binary, what tinyint, key bigint, place int, own bigint, own_1 bigint, own_2 bigint"
+_ASKED = "array<struct<what:tinyint,key:bigint,place:int,own:bigint,own_1:bigint,own_2:bigint>>"
+_JUDGED_SCHEMA = f"key binary, spam boolean, {_CUT_SCHEMA}, asked {_ASKED}"
 
 
-def _ask(frequent, batches: Iterator) -> Iterator:
-    """What the tables of frequent pairs and words do not answer, one row each with the text's own counts."""
+def _judge(frequent, batches: Iterator) -> Iterator:
+    """The texts that are spam whatever the counts of rare pairs and words are, and those whose verdict depends on them.
+
+    A verdict grows with no PMI and no register, so it is certain if both ends of their ranges agree. An open text comes
+    with its words and with what the tables of frequent pairs and words do not answer, next to the text's own counts.
+    """
     import pyarrow as pa
 
     for batch in batches:
         w = _Words(batch)
         s = _Scores(w, frequent.value)
-        ids = batch.column("key")
         p, q = s.ask_pairs, s.ask_words
-        docs = np.concatenate([w.doc[w.right[p]], w.doc[w.placed[q]]])
-        own = np.concatenate([s.own_pair[p], np.zeros(len(q), np.int64)])
-        first, second = np.concatenate([s.own_left[p], s.own_sentence[q]]).astype(np.int64), np.concatenate([s.own_right[p], s.own_list[q]]).astype(np.int64)
+        shares = []
+        for sign in (1, -1):
+            s.pmi[p], s.register[q] = sign * CLIP, sign * frequent.value.most_register
+            shares.append(spam_shares(w, s) > 0.5)
+        surely, maybe = shares
+        open_ = maybe & ~surely
+        kept = np.flatnonzero(maybe)
+        p, q = p[open_[w.doc[w.right[p]]]], q[open_[w.doc[w.placed[q]]]]
+        doc = np.concatenate([w.doc[w.right[p]], w.doc[w.placed[q]]])
         # places are counted from the first pair (word) of the text
         start_p, start_q = np.searchsorted(w.doc[w.right], np.arange(w.n_docs)), np.searchsorted(w.doc[w.placed], np.arange(w.n_docs))
-        place = np.concatenate([p - start_p[w.doc[w.right[p]]], q - start_q[w.doc[w.placed[q]]]]).astype(np.int32)
-        what = np.concatenate([np.zeros(len(p), np.int8), np.ones(len(q), np.int8)])
-        keys = np.concatenate([w.pair[p], w.words[w.placed[q]]])
-        yield pa.RecordBatch.from_arrays(
-            [ids.take(pa.array(docs)), *(pa.array(x) for x in (what, keys, place, own, first, second))], names=["text_key", "what", "key", "place", "own", "own_1", "own_2"]
-        )
+        fields = {
+            "what": np.concatenate([np.zeros(len(p), np.int8), np.ones(len(q), np.int8)]),
+            "key": np.concatenate([w.pair[p], w.words[w.placed[q]]]),
+            "place": np.concatenate([p - start_p[w.doc[w.right[p]]], q - start_q[w.doc[w.placed[q]]]]).astype(np.int32),
+            "own": np.concatenate([s.own_pair[p], np.zeros(len(q), np.int64)]),
+            "own_1": np.concatenate([s.own_left[p], s.own_sentence[q]]).astype(np.int64),
+            "own_2": np.concatenate([s.own_right[p], s.own_list[q]]).astype(np.int64),
+        }
+        order = np.argsort(doc, kind="stable")
+        ends = np.concatenate([[0], np.cumsum(np.bincount(doc, minlength=w.n_docs)[kept])]).astype(np.int32)
+        asked = pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays([pa.array(v[order]) for v in fields.values()], names=list(fields)))
+        rows = batch.take(pa.array(kept))
+        columns = [rows.column("key"), pa.array(surely[kept]), *(rows.column(c) for c in ("lengths", "kinds", "counts", "words")), asked]
+        yield pa.RecordBatch.from_arrays(columns, names=["key", "spam", "lengths", "kinds", "counts", "words", "asked"])
 
 
 def _verdict(frequent, batches: Iterator) -> Iterator:
@@ -509,9 +529,10 @@ def spam_pages(documents: DataFrame, doc_id: str, text: str, share: float = HOT_
     top = stats.filter(F.col("c1") >= total / FREQUENT).drop("what").toPandas()
     most = words.filter(F.col("a") + F.col("b") >= n_words / FREQUENT).toPandas()
     as_table = lambda pdf: np.ascontiguousarray(pdf.sort_values("key").to_numpy(np.int64).T)
-    frequent = spark.sparkContext.broadcast(_Frequent(total, as_table(top), as_table(most), total / FREQUENT))
+    frequent = spark.sparkContext.broadcast(_Frequent(total, as_table(top), as_table(most), total / FREQUENT, math.log(n_words / FREQUENT + 1)))
 
-    asked = cut.mapInArrow(lambda batches: _ask(frequent, batches), _ASK_SCHEMA)
+    judged = materialize(cut.mapInArrow(lambda batches: _judge(frequent, batches), _JUDGED_SCHEMA), "judged")
+    asked = judged.filter("not spam").select(F.col("key").alias("text_key"), F.explode("asked").alias("x")).select("text_key", "x.*")
     held = asked.join(stats.unionByName(word_counts), ["what", "key"])
     n, left, right = (F.greatest(F.col(f"c{i + 1}") - F.col(o), F.lit(0)) for i, o in enumerate(("own", "own_1", "own_2")))
     expected = left * right / F.lit(float(max(total, 1)))
@@ -519,7 +540,8 @@ def spam_pages(documents: DataFrame, doc_id: str, text: str, share: float = HOT_
     register = F.log((F.greatest(F.col("c1") - F.col("own_1"), F.lit(0)) + 1) / (F.greatest(F.col("c2") - F.col("own_2"), F.lit(0)) + 1))
     answers = held.select("text_key", "what", "place", F.when(F.col("what") == 0, pmi).otherwise(register).alias("value"))
     answers = answers.groupBy(F.col("text_key").alias("key")).agg(F.collect_list(F.struct("what", "place", "value")).alias("answers"))
-    found = materialize(cut.join(answers, "key", "left").mapInArrow(lambda batches: _verdict(frequent, batches), "key binary"), "spam")
+    late = judged.filter("not spam").drop("asked").join(answers, "key").mapInArrow(lambda batches: _verdict(frequent, batches), "key binary")
+    found = materialize(judged.filter("spam").select("key").unionByName(late), "spam")
 
     hottest = is_hot(key_hash("key"), hot)
     rest = made.filter(~hottest).join(found.filter(~hottest), "key").select("doc")
