@@ -37,28 +37,29 @@ _WORD = re.compile(r"[^\W_](?:[\w'’]|-(?=\w)|(?<=\d)[.,](?=\d))*")
 _BLANK = "\x01"  # stands for a segment that holds nothing but markup
 
 _ALNUM, _UNDER, _DECIMAL, _SPACE, _APOSTROPHE, _END, _CLOSE, _FULL, _LINE, _BAR, _DASH, _SEMICOLON, _HYPHEN, _POINT, _EQUALS = (1 << i for i in range(15))
-_CLASSES: list = []
+_CLASSES = np.full(0x110000, 1 << 15, np.uint16)  # filled as code points are met
 _POWERS: list = []
 #: Characters that are worked on at once; arrays of this length stay in the cache.
 _SLICE = 1 << 18
 
 
-def _classes() -> np.ndarray:
-    """Classes of all code points, made once in each process."""
-    if not _CLASSES:
-        table = np.zeros(0x110000, np.uint16)
-        for i in range(0x110000):
+_MARKS = {"_": _UNDER, "'’": _APOSTROPHE, _ENDS: _END, _CLOSES: _CLOSE, _ENDS.replace(":", ""): _FULL, "\r\n": _LINE}
+_MARKS |= {_BARS: _BAR, _DASHES + "*": _DASH, ";": _SEMICOLON, "-": _HYPHEN, ".,": _POINT, "=": _EQUALS}
+
+
+def _classes(points: np.ndarray) -> np.ndarray:
+    """Classes of code points."""
+    found = _CLASSES[points]
+    new = np.unique(points[found == 1 << 15])
+    if len(new):
+        for i in new.tolist():
             c = chr(i)
-            if c.isalnum():
-                table[i] = _ALNUM | (_DECIMAL if c.isdecimal() else 0)
-            elif c.isspace():
-                table[i] = _SPACE
-        marks = (("_", _UNDER), ("'’", _APOSTROPHE), (_ENDS, _END), (_CLOSES, _CLOSE), (_ENDS.replace(":", ""), _FULL), ("\r\n", _LINE))
-        for chars, bit in (*marks, (_BARS, _BAR), (_DASHES + "*", _DASH), (";", _SEMICOLON), ("-", _HYPHEN), (".,", _POINT), ("=", _EQUALS)):
-            for c in chars:
-                table[ord(c)] |= bit
-        _CLASSES.append(table)
-    return _CLASSES[0]
+            bits = (_ALNUM if c.isalnum() else 0) | (_DECIMAL if c.isdecimal() else 0) | (_SPACE if c.isspace() else 0)
+            for chars, bit in _MARKS.items():
+                bits |= bit if c in chars else 0
+            _CLASSES[i] = bits
+        found = _CLASSES[points]
+    return found
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -133,7 +134,7 @@ def _cut_slice(prepared: list[tuple[str, list | None]]) -> tuple[np.ndarray, ...
     c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
     sizes = np.array([len(t) + 1 for t, _ in prepared])
     ends = np.cumsum(sizes)
-    cls = _classes()[c]
+    cls = _classes(c)
     has = lambda bit: (cls & bit) > 0
     space, digit = has(_SPACE), has(_DECIMAL)
     before = lambda x, first=False: np.concatenate([[first], x[:-1]])
