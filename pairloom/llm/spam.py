@@ -236,6 +236,13 @@ def _own(doc: np.ndarray, value: np.ndarray) -> np.ndarray:
     return np.bincount(inverse)[inverse] if len(inverse) else np.zeros(0, np.int64)
 
 
+def _parts(batches: Iterator, rows: int = 500) -> Iterator:
+    """Batches in parts whose arrays stay in the cache."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, rows):
+            yield batch.slice(i, rows)
+
+
 class _Words:
     """Flat arrays over the words of a batch of texts that :func:`_cut` made."""
 
@@ -376,7 +383,7 @@ def _judge(frequent, batches: Iterator) -> Iterator:
     """
     import pyarrow as pa
 
-    for batch in batches:
+    for batch in _parts(batches):
         w = _Words(batch)
         s = _Scores(w, frequent.value)
         p, q = s.ask_pairs, s.ask_words
