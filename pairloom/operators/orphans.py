@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..session import materialize
+from .skew import hot_keys, lookup
 
-#: Bound of the broadcast filter: 2**27 bits are 16 MB however many parents there are. More parents only let more
-#: references through to the exact join.
-MAX_FILTER_BITS = 2**27
+#: A filter up to this size (2**27 bits are 16 MB) is broadcast; a larger one stays cut into chunks of words by the hash
+#: of the key and meets the references in a shuffle by chunk. Either way a key has 16 bits, so what passes stays rare.
+BROADCAST_BITS = 2**27
+BITS_PER_KEY = 16
 _CHUNK = 1024
 
 
@@ -25,16 +27,17 @@ def _mask(key: Column) -> Column:
 
 
 class BloomFilter:
-    """Register-blocked Bloom filter kept as a small table of word arrays and probed by a broadcast join.
+    """Register-blocked Bloom filter kept as a table of word arrays, probed by a join with it.
 
     A key sets four bits of one 64-bit word; words are or-ed with map-side combine, so building costs one small shuffle.
+    The size follows the number of parents without a bound; with four bits a key in at least 16, less than 0.4 % of the
+    keys without a parent pass (about 0.24 % if the keys fill the words evenly).
     """
 
-    def __init__(self, parents: DataFrame, key: str, n_parents: int, max_bits: int = MAX_FILTER_BITS):
-        wanted = min(max(16 * n_parents, 64 * _CHUNK), max_bits)
+    def __init__(self, parents: DataFrame, key: str, n_parents: int, broadcast_bits: int = BROADCAST_BITS):
+        wanted = max(BITS_PER_KEY * n_parents, 64 * _CHUNK)
         self.n_words = 1 << ((wanted // 64) - 1).bit_length()
-        if self.n_words * 64 > max_bits:
-            self.n_words //= 2
+        self.small = self.n_words * 64 <= broadcast_bits
         spark = parents.sparkSession
         words = (
             parents.filter(F.col(key).isNotNull())
@@ -54,7 +57,12 @@ class BloomFilter:
         chunk = F.coalesce(F.shiftright(_word(F.col(key), self.n_words), 10), F.lit(0))
         mask = _mask(F.col(key))
         held = F.get("__words", _word(F.col(key), self.n_words).bitwiseAND(F.lit(_CHUNK - 1)).cast("int"))
-        joined = rows.withColumn("__chunk", chunk).join(F.broadcast(self.table), "__chunk")
+        rows_of = rows.withColumn("__chunk", chunk)
+        if self.small:
+            joined = rows_of.join(F.broadcast(self.table), "__chunk")
+        else:
+            rows_of = materialize(rows_of, "filter-refs")
+            joined = lookup(rows_of, self.table, "__chunk", ["__words"], hot_keys(rows_of, "__chunk", rows_of.count()))
         hit = F.col(key).isNotNull() & (held.bitwiseAND(mask) == mask)
         return joined.select(*rows.columns, hit.alias(flag))
 
@@ -90,8 +98,9 @@ def temporal_orphans(
 
     Exact check: the number of living parents is a running sum of +1 at each start and -1 at each end. It is taken per
     key and month of the reference, the sum of all earlier months being carried in, so neither a key with very many
-    references nor one with very many parents meets in one group; a (key, month) of more references than
-    ``max(split_above, n_refs / 2000)`` is split further, its few deltas being repeated for each part.
+    references nor one with very many parents meets in one group. A (key, month) of more references than
+    ``max(split_above, n_refs / 2000)`` is taken second by second instead, and a second with as many references is split
+    by hash; only the deltas of that one second, at most one for each microsecond, are repeated for each part.
     """
     live = parents.filter(
         F.col(key).isNotNull() & F.col(start).isNotNull() & (F.col(end).isNull() | (F.col(end) > F.col(start)))
@@ -102,36 +111,43 @@ def temporal_orphans(
     sure = probed.filter(~may_live).drop("__maybe")
     maybe = probed.filter(may_live).drop("__maybe")
 
-    month = lambda c: F.date_trunc("month", c).cast("timestamp_ntz")
+    instant = lambda c: F.col(c).cast("timestamp_ntz")
+    trunc = lambda unit: F.date_trunc(unit, "__t").cast("timestamp_ntz")
     deltas = (
         live.select(key, F.explode(F.array(F.struct(F.col(start).alias("t"), F.lit(1).alias("d")), F.struct(F.col(end).alias("t"), F.lit(-1).alias("d")))).alias("x"))
-        .select(key, F.col("x.t").cast("timestamp_ntz").alias("__t"), F.col("x.d").cast("bigint").alias("__d"))
+        .select(key, instant("x.t").alias("__t"), F.col("x.d").cast("bigint").alias("__d"))
         .filter(F.col("__t").isNotNull())
         .groupBy(key, "__t")
         .agg(F.sum("__d").alias("__d"))
-        .withColumn("__month", month(F.col("__t")))
+        .withColumn("__span", trunc("month"))
     )
-    maybe = maybe.withColumn("__t", F.col(at).cast("timestamp_ntz")).withColumn("__month", month(F.col("__t")))
-    months = (
-        maybe.select(key, "__month", F.lit(1).cast("bigint").alias("n"), F.lit(0).cast("bigint").alias("__d"))
-        .unionByName(deltas.select(key, "__month", F.lit(0).cast("bigint").alias("n"), "__d"))
-        .groupBy(key, "__month")
+    maybe = maybe.withColumn("__t", instant(at)).withColumn("__span", trunc("month"))
+    limit = max(split_above, n_refs // 2000)
+    if n_refs > limit:
+        # at most n_refs / limit (<= 2000) entries, as are the parts below
+        busy = maybe.groupBy(key, "__span").agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > limit).select(key, "__span", F.lit(True).alias("__busy"))
+        busy = F.broadcast(materialize(busy, "busy-months"))
+        finer = F.when(F.col("__busy"), trunc("second")).otherwise(F.col("__span"))
+        maybe = maybe.join(busy, [key, "__span"], "left").withColumn("__span", finer).drop("__busy")
+        deltas = deltas.join(busy, [key, "__span"], "left").withColumn("__span", finer).drop("__busy")
+    spans = (
+        maybe.select(key, "__span", F.lit(1).cast("bigint").alias("n"), F.lit(0).cast("bigint").alias("__d"))
+        .unionByName(deltas.select(key, "__span", F.lit(0).cast("bigint").alias("n"), "__d"))
+        .groupBy(key, "__span")
         .agg(F.sum("n").alias("n"), F.sum("__d").alias("__d"))
-        .withColumn("carry", F.sum("__d").over(W.partitionBy(key).orderBy("__month").rowsBetween(W.unboundedPreceding, -1)))
+        .withColumn("carry", F.sum("__d").over(W.partitionBy(key).orderBy("__span").rowsBetween(W.unboundedPreceding, -1)))
         .filter("n > 0")
     )
-    limit = max(split_above, n_refs // 2000)
-    carried = months.select(key, "__month", F.col("__month").alias("__t"), F.coalesce("carry", F.lit(0)).alias("__d"))
+    carried = spans.select(key, "__span", F.col("__span").alias("__t"), F.coalesce("carry", F.lit(0)).alias("__d"))
     extra = [c for c in sure.columns if c != key]
     blank = [F.lit(None).cast(dict(sure.dtypes)[c]).alias(c) for c in extra]
-    steps = carried.select(key, "__month", "__t", F.lit(0).alias("__kind"), "__d", *blank).unionByName(
-        deltas.select(key, "__month", "__t", F.lit(1).alias("__kind"), "__d", *blank)
+    steps = carried.select(key, "__span", "__t", F.lit(0).alias("__kind"), "__d", *blank).unionByName(
+        deltas.select(key, "__span", "__t", F.lit(1).alias("__kind"), "__d", *blank)
     )
-    asked = maybe.select(key, "__month", "__t", F.lit(2).alias("__kind"), F.lit(0).cast("bigint").alias("__d"), *extra)
-    part = [key, "__month"]
+    asked = maybe.select(key, "__span", "__t", F.lit(2).alias("__kind"), F.lit(0).cast("bigint").alias("__d"), *extra)
+    part = [key, "__span"]
     if n_refs > limit:
-        # at most n_refs / limit (<= 2000) entries
-        parts = F.broadcast(months.filter(F.col("n") > limit).select(key, "__month", F.ceil(F.col("n") / limit).cast("int").alias("__parts")))
+        parts = F.broadcast(spans.filter(F.col("n") > limit).select(key, "__span", F.ceil(F.col("n") / limit).cast("int").alias("__parts")))
         asked = asked.join(parts, part, "left").withColumn(
             "__part", F.when(F.col("__parts").isNull(), 0).otherwise(F.pmod(F.xxhash64(*extra), F.col("__parts")).cast("int"))
         )

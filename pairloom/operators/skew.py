@@ -9,18 +9,28 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: A key is hot above this share of all rows, so a list of hot keys has at most 1 / share entries ...
+from ..session import discard, materialize
+
+#: A key is hot above this share of all rows, or above the fair share of a shuffle partition where there are more
+#: partitions than that, but no finer than FINEST_SHARE; so a list of hot keys has at most 1 / FINEST_SHARE entries ...
 HOT_SHARE = 1 / 2000
-#: ... and never below this many rows, so small tables have none.
-HOT_FLOOR = 100_000
+FINEST_SHARE = 1 / 20_000
+#: ... and never below this many rows, so tiny tables have none.
+HOT_FLOOR = 1000
+
+
+def hot_limit(rows: DataFrame, total: int, share: float = HOT_SHARE, floor: int = HOT_FLOOR) -> float:
+    """Rows above which a key is hot in a table of at most ``total`` rows."""
+    partitions = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(floor, min(share, max(1 / partitions, FINEST_SHARE)) * total)
 
 
 def hot_keys(rows: DataFrame, key: Column | str, total: int, share: float = HOT_SHARE, floor: int = HOT_FLOOR) -> list:
-    """Keys held by more than ``max(floor, share * total)`` rows, found exactly from map-side partial counts.
+    """Keys held by more than :func:`hot_limit` rows, found exactly from map-side partial counts.
 
-    ``total`` is an upper bound for the rows of ``rows``; the list has at most ``1 / share`` entries by construction.
+    ``total`` is an upper bound for the rows of ``rows``; the length of the list is bounded by construction.
     """
-    limit = max(floor, share * total)
+    limit = hot_limit(rows, total, share, floor)
     if total <= limit:
         return []
     key = F.col(key) if isinstance(key, str) else key
@@ -54,6 +64,8 @@ def lookup(rows: DataFrame, table: DataFrame, key: str, values: Sequence[str], h
 def sketch_heavy_hitters(rows: DataFrame, key: str, total: int, share: float = HOT_SHARE, floor: int = HOT_FLOOR) -> list:
     """Candidate heavy keys from a frequent-items sketch, a superset of the keys above ``max(floor, share * total)``.
 
+    The sketch of 2**15 items takes some 2 MB a task (4 MB with text keys) whatever the number of rows.
+
     The sketch tracks 2**15 items, so an estimate is off by at most about 0.02 % of the rows; keys are kept from half
     the limit on. At most ``2 / share`` keys come back.
     """
@@ -96,23 +108,28 @@ def key_hash(*keys: str) -> Column:
     return F.xxhash64(*keys)
 
 
-def with_group_min(rows: DataFrame, keys: Sequence[str], value: str, out: str, hot: list) -> DataFrame:
-    """``rows`` with ``out``, the least ``value`` among the rows of equal ``keys`` (null equals null).
+def with_group_min(rows: DataFrame, keys: Sequence[str], value: str, out: str, hot: list, size: str | None = None) -> DataFrame:
+    """``rows`` with ``out``, the least ``value`` among the rows of equal ``keys`` (null equals null), and ``size``, if
+    named, the number of those rows.
 
     ``hot`` holds key hashes. Ordinary keys take one shuffle and a window; rows of hot keys are reduced in two salted
     levels to one row per key, which is broadcast, so they are never gathered.
     """
+
+    def windowed(part: DataFrame) -> DataFrame:
+        over = W.partitionBy(*keys)
+        part = part.withColumn(out, F.min(value).over(over))
+        return part.withColumn(size, F.count(F.lit(1)).over(over)) if size else part
+
     if not hot:
-        return rows.withColumn(out, F.min(value).over(W.partitionBy(*keys)))
+        return windowed(rows)
     flag = is_hot(key_hash(*keys), hot)
-    rest = rows.filter(~flag).withColumn(out, F.min(value).over(W.partitionBy(*keys)))
     hot_rows = rows.filter(flag)
-    least = (
-        hot_rows.groupBy(*keys, F.spark_partition_id().alias("__salt")).agg(F.min(value).alias(out)).groupBy(*keys).agg(F.min(out).alias(out))
-    )
-    least = least.select(*(F.col(k).alias(f"__{k}") for k in keys), out)
+    first = hot_rows.groupBy(*keys, F.spark_partition_id().alias("__salt")).agg(F.min(value).alias(out), F.count(F.lit(1)).alias("__n"))
+    least = first.groupBy(*keys).agg(F.min(out).alias(out), F.sum("__n").alias("__n"))
+    least = least.select(*(F.col(k).alias(f"__{k}") for k in keys), out, *([F.col("__n").alias(size)] if size else []))
     same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys])
-    return rest.unionByName(hot_rows.join(F.broadcast(least), same).select(*rows.columns, out))
+    return windowed(rows.filter(~flag)).unionByName(hot_rows.join(F.broadcast(least), same).select(*rows.columns, out, *([size] if size else [])))
 
 
 def balanced_join(rows: DataFrame, table: DataFrame, key: str, hot: list) -> DataFrame:
@@ -122,3 +139,39 @@ def balanced_join(rows: DataFrame, table: DataFrame, key: str, hot: list) -> Dat
     mine, theirs = is_hot(F.col(key), hot), is_hot(F.col(key), hot)
     heavy = rows.filter(mine).join(F.broadcast(table.filter(theirs)), key)
     return heavy.unionByName(rows.filter(~mine).join(table.filter(~theirs), key))
+
+
+#: Rows of each side that meet in one cell of :func:`grid_join`.
+CELL_ROWS = 1000
+
+
+def grid_join(left: DataFrame, right: DataFrame, keys: Sequence[str], left_id: Column, right_id: Column, cell: int = CELL_ROWS) -> DataFrame:
+    """Inner join on ``keys`` that stays balanced however many rows a key has on either side, or on both.
+
+    Keys are counted on both sides first. The rows of a key with more than ``cell ** 2`` joined pairs are cut by a hash
+    of their ids into parts of about ``cell`` rows, and every part of one side meets every part of the other in a cell of
+    its own, so a task never holds more than some thousand rows of one cell. Repeating a row costs a ``cell``-th of the
+    pairs it takes part in.
+    """
+    key = F.xxhash64(*keys)
+    sizes = (
+        left.groupBy(key.alias("__k")).agg(F.count(F.lit(1)).alias("__nl"))
+        .join(right.groupBy(key.alias("__k")).agg(F.count(F.lit(1)).alias("__nr")), "__k")
+        .filter(F.col("__nl") * F.col("__nr") > cell * cell)
+    )
+    parts = lambda n: F.ceil(F.col(n) / cell).cast("bigint")
+    big = sizes.select("__k", "__nl", "__nr", parts("__nl").alias("__pl"), parts("__nr").alias("__pr"))
+    big = materialize(big, "grid")
+    n_big, rows_left, rows_right = big.agg(F.count(F.lit(1)), F.sum("__nl"), F.sum("__nr")).first()
+    if not n_big:
+        discard(big)
+        return left.join(right, list(keys))
+    limit = max(hot_limit(left, rows_left), cell), max(hot_limit(right, rows_right), cell)
+    hot_of = lambda n, most: [r[0] for r in big.filter(F.col(n) > most).select("__k").collect()]
+    step = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.coalesce(n, F.lit(1)) - 1))
+    own = lambda ident, n: F.pmod(F.xxhash64(ident), F.coalesce(n, F.lit(1)))
+    a = lookup(left.withColumn("__k", key), big, "__k", ["__pl", "__pr"], hot_of("__nl", limit[0]))
+    a = a.select(*left.columns, own(left_id, F.col("__pl")).alias("__i"), step(F.col("__pr")).alias("__j"))
+    b = lookup(right.withColumn("__k", key), big, "__k", ["__pl", "__pr"], hot_of("__nr", limit[1]))
+    b = b.select(*right.columns, own(right_id, F.col("__pr")).alias("__j"), step(F.col("__pl")).alias("__i"))
+    return a.join(b, [*keys, "__i", "__j"]).drop("__i", "__j")

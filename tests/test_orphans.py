@@ -42,11 +42,17 @@ def test_orphan_keys_and_filter(spark):
     assert bloom.n_words * 64 <= 2**27
 
 
-def test_a_full_filter_only_costs_work(spark):
-    parents = spark.createDataFrame([(i,) for i in range(5000)], "k bigint")
-    bloom = BloomFilter(parents, "k", 10**12, max_bits=64 * 1024)
-    assert bloom.n_words == 1024
-    assert bloom.probe(parents, "k", "maybe").filter("not maybe").count() == 0
+@pytest.mark.parametrize("broadcast_bits", [0, 2**27])
+def test_a_large_filter_is_met_by_chunk(spark, broadcast_bits):
+    """Beyond the broadcast bound the filter is shuffled; it answers alike, and rarely lets an orphan pass."""
+    parents = spark.createDataFrame([(2 * i,) for i in range(20_000)], "k bigint").repartition(3)
+    refs = spark.createDataFrame([(i,) for i in range(30_000)] + [(1,)] * 3000 + [(None,)] * 10, "k bigint").repartition(4)
+    bloom = BloomFilter(parents, "k", 20_000, broadcast_bits)
+    assert bloom.small == (broadcast_bits > 0) and bloom.n_words >= 4096
+    probed = bloom.probe(refs, "k", "maybe")
+    assert probed.count() == 33_010 and probed.filter("k % 2 = 0 and not maybe").count() == 0
+    assert probed.filter("k is null and maybe").count() == 0
+    assert probed.filter("k % 2 = 1 and maybe").count() < 0.02 * 18_000
 
 
 def test_empty(spark):
