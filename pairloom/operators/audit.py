@@ -60,12 +60,21 @@ def overlaps(rows: DataFrame, what: str) -> DataFrame:
 
 
 def leakage_audit(rows: DataFrame) -> DataFrame:
-    """Per pair of splits and kind of value, what they share, and whether that is a leak of pairs."""
-    out = None
-    for what in ("proteins", "ordered_pairs", "unordered_pairs"):
-        part = overlaps(rows, what).select(F.lit(what).alias("kind"), "split_l", "split_r", "n_shared", (F.lit(what != "proteins") & (F.col("n_shared") > 0)).alias("is_leak"))
-        out = part if out is None else out.unionByName(part)
-    return out
+    """Per pair of splits and kind of value, what they share, and whether that is a leak of pairs.
+
+    One pass: every row gives its values of all kinds, one aggregation gathers the splits of each value (three names at
+    most), another counts.
+    """
+    lo, hi = unordered("protein_a", "protein_b")
+    blank = F.lit(None).cast("string")
+    value = lambda kind, x, y: F.struct(F.lit(kind).alias("kind"), x.alias("x"), y.alias("y"))
+    a, b = F.col("protein_a"), F.col("protein_b")
+    kinds = F.array(value("proteins", a, blank), value("proteins", b, blank), value("ordered_pairs", a, b), value("unordered_pairs", lo, hi))
+    present = rows.select("split", F.explode(kinds).alias("v")).groupBy("v.kind", "v.x", "v.y").agg(F.array_sort(F.collect_set("split")).alias("s")).filter("size(s) > 1")
+    met = present.groupBy("kind", "s").agg(F.count(F.lit(1)).alias("n"))  # a few sets of splits per kind
+    pairs = met.select("kind", "n", F.explode("s").alias("split_l"), "s").select("kind", "n", "split_l", F.explode("s").alias("split_r")).filter("split_l < split_r")
+    counts = pairs.groupBy("kind", "split_l", "split_r").agg(F.sum("n").alias("n_shared"))
+    return counts.withColumn("is_leak", (F.col("kind") != "proteins") & (F.col("n_shared") > 0))
 
 
 def taxon_summary(proteins: DataFrame, taxa: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.digests import json_sha256
 from ..session import materialize
+from .skew import endpoint_lookup
 
 
 def kmers(text: Column, k: int = 3) -> Column:
@@ -24,32 +25,61 @@ def term_counts(rows: DataFrame, row_id: str, text: str, k: int = 3) -> DataFram
     The texts are spread by row before they are cut, which moves far fewer bytes than their k-mers; the count per row and
     term is local then. The number of partitions is given, as texts look small to the adaptive planner.
     """
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    spread = rows.select(F.col(row_id).alias("row_id"), F.col(text).alias("text")).repartition(parts, "row_id")
+    spread = _by_row(rows.select(F.col(row_id).alias("row_id"), F.col(text).alias("text")))
     return spread.select("row_id", F.explode(kmers(F.col("text"), k)).alias("term")).groupBy("row_id", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
+def _by_row(rows: DataFrame) -> DataFrame:
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "row_id")
+
+
+def term_lists(counts: DataFrame) -> DataFrame:
+    """One row per ``row_id`` with ``terms``, an array of (term, tf): a term table in a tenth of its rows.
+
+    Counts of :func:`term_counts` lie together by row already, so this shuffles nothing.
+    """
+    return counts.groupBy("row_id").agg(F.collect_list(F.struct("term", "tf")).alias("terms"))
+
+
 def vocabulary(train: DataFrame) -> DataFrame:
     """(term, df) of the training rows of a term table."""
     return train.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
 
 
+#: Vocabularies of at most this many terms are broadcast; larger ones meet the terms in a shuffle.
+BROADCAST_TERMS = 200_000
+
+
+def _known(counts: DataFrame, vocab: DataFrame) -> DataFrame:
+    """Terms of the vocabulary with its columns; a small vocabulary is broadcast and keeps the rows where they lie."""
+    return counts.join(F.broadcast(vocab) if vocab.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS else vocab, "term")
+
+
 def count_features(counts: DataFrame, vocab: DataFrame) -> DataFrame:
-    return counts.join(vocab.select("term"), "term").select("row_id", "term", F.col("tf").cast("double").alias("value"))
+    return _known(counts, vocab.select("term")).select("row_id", "term", F.col("tf").cast("double").alias("value"))
 
 
 def binary_features(counts: DataFrame, vocab: DataFrame) -> DataFrame:
-    return counts.join(vocab.select("term"), "term").select("row_id", "term", F.lit(1.0).alias("value"))
+    return _known(counts, vocab.select("term")).select("row_id", "term", F.lit(1.0).alias("value"))
+
+
+def _lists(known: DataFrame, *columns: str) -> DataFrame:
+    return known.groupBy("row_id").agg(F.collect_list(F.struct("term", *columns)).alias("t"))
 
 
+def _sum(items: Column, of) -> Column:
+    return F.aggregate(items, F.lit(0.0), lambda s, x: s + of(x))
 
 
 def tfidf_features(counts: DataFrame, vocab: DataFrame, n_train: int) -> DataFrame:
-    """tf * (ln((1 + n) / (1 + df)) + 1), rows scaled to unit length; terms outside the vocabulary vanish."""
+    """tf * (ln((1 + n) / (1 + df)) + 1), rows scaled to unit length; terms outside the vocabulary vanish.
+
+    The terms of a row are gathered as one array, whose norm is taken inside the row.
+    """
     n = F.lit(n_train)
-    weighted = counts.join(vocab, "term").withColumn("w", F.col("tf") * (F.log((1 + n) / (1 + F.col("df"))) + 1))
-    norms = weighted.groupBy("row_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return weighted.join(norms, "row_id").select("row_id", "term", (F.col("w") / F.col("norm")).alias("value"))
+    weighted = _known(counts, vocab).withColumn("w", F.col("tf") * (F.log((1 + n) / (1 + F.col("df"))) + 1))
+    rows = _lists(weighted, "w").withColumn("norm", F.sqrt(_sum(F.col("t"), lambda x: x["w"] * x["w"])))
+    return rows.select("row_id", "norm", F.explode("t").alias("x")).select("row_id", "x.term", (F.col("x.w") / F.col("norm")).alias("value"))
 
 
 def bm25_features(counts: DataFrame, vocab: DataFrame, train_ids: DataFrame, k1: float = 1.5, b: float = 0.75) -> DataFrame:
@@ -58,23 +88,27 @@ def bm25_features(counts: DataFrame, vocab: DataFrame, train_ids: DataFrame, k1:
     Lengths count terms of the vocabulary only; n and avgdl are those of the training rows (``row_id``), rows without
     any k-mer included.
     """
-    known = counts.join(vocab, "term")
-    lengths = known.groupBy("row_id").agg(F.sum("tf").alias("dl"))
-    stats = train_ids.join(lengths, "row_id", "left").agg(F.count(F.lit(1)).alias("n"), F.greatest(F.avg(F.coalesce("dl", F.lit(0))), F.lit(1e-12)).alias("avgdl"))
-    joined = known.join(lengths, "row_id").join(F.broadcast(stats))  # one row
-    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    value = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    return joined.select("row_id", "term", value.alias("value"))
+    rows = _lists(_known(counts, vocab), "tf", "df").withColumn("dl", F.aggregate("t", F.lit(0).cast("bigint"), lambda s, x: s + x["tf"]))
+    rows = materialize(rows, "vocabulary-terms")
+    total = rows.join(train_ids.distinct(), "row_id", "left_semi").agg(F.coalesce(F.sum("dl"), F.lit(0))).first()[0]
+    n = train_ids.count()
+    avgdl = max(total / n if n else 0.0, 1e-12)
+    tf, df = F.col("x.tf"), F.col("x.df")
+    idf = F.log(1 + (F.lit(n) - df + 0.5) / (df + 0.5))
+    value = idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("dl") / F.lit(avgdl)))
+    return rows.select("row_id", "dl", F.explode("t").alias("x")).select("row_id", "x.term", value.alias("value"))
 
 
 def feature_table(counts: DataFrame, train_ids: DataFrame, kind: str, **options: float) -> DataFrame:
     """Fit on the training rows alone, transform all rows."""
-    counts, train_ids = materialize(counts, "terms"), materialize(train_ids, "train-ids")
-    vocab = vocabulary(counts.join(train_ids, "row_id", "left_semi"))
+    lists, train_ids = materialize(term_lists(counts), "terms"), materialize(train_ids, "train-ids")
+    flat = lambda t: t.select("row_id", F.explode("terms").alias("x")).select("row_id", "x.term", "x.tf")
+    vocab = materialize(vocabulary(flat(lists.join(train_ids, "row_id", "left_semi"))), "vocabulary")
+    counts = flat(_by_row(lists))  # one row per text moves, and its terms stay together from here on
     if kind == "count":
-        return count_features(counts, vocab)
+        return count_features(flat(lists), vocab)
     if kind == "binary":
-        return binary_features(counts, vocab)
+        return binary_features(flat(lists), vocab)
     if kind == "tfidf":
         return tfidf_features(counts, vocab, train_ids.count())
     if kind == "bm25":
@@ -91,17 +125,23 @@ def stack_features(blocks: dict[str, DataFrame]) -> DataFrame:
     return out
 
 
+#: Feature rows are wide; up to this many of them are broadcast.
+BROADCAST_FEATURE_ROWS = 5000
+
+
 def compose_sparse(pairs: DataFrame, features: DataFrame, pair_id: str = "pair_id", a: str = "protein_a", b: str = "protein_b") -> DataFrame:
     """(pair_id, part, term, value) of [x + y, abs(x - y), x * y] for the endpoints' feature rows, without zeros.
 
-    Both endpoints' terms are gathered by one aggregation per (pair, term), not by an outer join; a self pair sees its
-    row twice.
+    The features of an endpoint are one map, looked up for both sides and merged inside the pair's row, so nothing is
+    shuffled by pair and term. A self pair sees its row twice; an endpoint without features counts as zeros.
     """
-    side = lambda c, s: pairs.select(F.col(pair_id).alias("pair_id"), F.col(c).alias("row_id"), F.lit(s).alias("s"))
-    ends = side(a, 0).unionByName(side(b, 1)).join(features, "row_id")
-    both = ends.groupBy("pair_id", "term").agg(
-        F.coalesce(F.sum(F.when(F.col("s") == 0, F.col("value"))), F.lit(0.0)).alias("x"), F.coalesce(F.sum(F.when(F.col("s") == 1, F.col("value"))), F.lit(0.0)).alias("y")
-    )
+    rows = materialize(features.groupBy("row_id").agg(F.map_from_entries(F.collect_list(F.struct("term", "value"))).alias("m")), "feature-rows")
+    ends = pairs.select(F.col(pair_id).alias("pair_id"), F.col(a).alias("a"), F.col(b).alias("b"))
+    met = endpoint_lookup(ends, rows, "row_id", ["m"], ("a", "b"), ("_x", "_y"), broadcast_rows=BROADCAST_FEATURE_ROWS)
+    none = F.create_map().cast(rows.schema["m"].dataType)
+    zero = lambda v: F.coalesce(v, F.lit(0.0))
+    merged = F.map_zip_with(F.coalesce("m_x", none), F.coalesce("m_y", none), lambda t, x, y: F.struct(zero(x).alias("x"), zero(y).alias("y")))
+    both = met.select("pair_id", F.explode(merged).alias("term", "v")).select("pair_id", "term", "v.x", "v.y")
     x, y = F.col("x"), F.col("y")
     parts = F.array(*(F.struct(F.lit(n).alias("part"), v.alias("value")) for n, v in (("sum", x + y), ("difference", F.abs(x - y)), ("product", x * y))))
     return both.select("pair_id", "term", F.explode(parts).alias("p")).select("pair_id", "p.part", "term", "p.value").filter("value <> 0")
@@ -114,9 +154,8 @@ def compose_dense(x: Column, y: Column) -> Column:
 
 def gather(pairs: DataFrame, table: DataFrame, key: str, value: str) -> DataFrame:
     """Dense rows of both endpoints (``x``, ``y``), missing ones null."""
-    first = table.select(F.col(key).alias("__a"), F.col(value).alias("x"))
-    second = table.select(F.col(key).alias("__b"), F.col(value).alias("y"))
-    return pairs.join(first, F.col("protein_a") == F.col("__a"), "left").join(second, F.col("protein_b") == F.col("__b"), "left").drop("__a", "__b")
+    found = endpoint_lookup(pairs, table, key, [value], broadcast_rows=BROADCAST_FEATURE_ROWS)
+    return found.withColumnsRenamed({f"{value}_a": "x", f"{value}_b": "y"})
 
 
 def matrix_statistics(features: DataFrame, n_rows: int | Column) -> DataFrame:

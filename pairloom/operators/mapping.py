@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .pairs import PAIR, require_columns, require_empty
+from .skew import endpoint_lookup
 
 
 def normalize_mapping(table: DataFrame, raw: str, canonical: str) -> DataFrame:
@@ -25,8 +26,7 @@ def build_mapping(table: DataFrame, raw: str, canonical: str) -> DataFrame:
 
 def map_pairs(pairs: DataFrame, mapping: DataFrame) -> DataFrame:
     """``pairs`` with mapped endpoints and ``map_status``: ambiguous before unmapped before mapped."""
-    side = lambda s: mapping.select(F.col("raw_id").alias(f"__raw_{s}"), F.col("canonical_id").alias(f"__id_{s}"), F.col("n_targets").alias(f"__n_{s}"))
-    joined = pairs.join(side("a"), F.col("protein_a") == F.col("__raw_a"), "left").join(side("b"), F.col("protein_b") == F.col("__raw_b"), "left")
+    joined = endpoint_lookup(pairs, mapping.withColumnsRenamed({"canonical_id": "__id", "n_targets": "__n"}), "raw_id", ["__id", "__n"])
     ambiguous = (F.coalesce("__n_a", F.lit(0)) > 1) | (F.coalesce("__n_b", F.lit(0)) > 1)
     status = F.when(ambiguous, "ambiguous").when(F.col("__n_a").isNull() | F.col("__n_b").isNull(), "unmapped").otherwise("mapped")
     rest = [c for c in pairs.columns if c not in PAIR]
@@ -57,11 +57,7 @@ def resolve_taxa(from_headers: DataFrame, default_taxon: str | None, sidecar: Da
 
 def project_endpoints(pairs: DataFrame, table: DataFrame, key: str, values: Sequence[str]) -> DataFrame:
     """``pairs`` with ``<value>_a`` and ``<value>_b`` looked up for both endpoints, null where there is none."""
-    out = pairs
-    for s in ("a", "b"):
-        right = table.select(F.col(key).alias(f"__{s}"), *(F.col(v).alias(f"{v}_{s}") for v in values))
-        out = out.join(right, F.col(f"protein_{s}") == F.col(f"__{s}"), "left").drop(f"__{s}")
-    return out
+    return endpoint_lookup(pairs, table, key, values)
 
 
 def uncovered(pairs: DataFrame, table: DataFrame, key: str) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..session import materialize
 from .mapping import project_endpoints
-from .ordering import dense_index, hash_order
+from .ordering import dense_index, first_rows, hash_order
 from .pairs import proteins_in, require_empty, unordered
 
 
@@ -195,7 +195,7 @@ def weighted_sample(rows: DataFrame, weight: Column, n: int, seed: int, *identit
     -ln(1 - u) / weight, u from a hash of seed and identity. Rows of no positive weight are never drawn."""
     u = F.conv(F.substring(hash_order(seed, *(F.col(c).cast("string") for c in identity)), 1, 13), 16, 10).cast("double") / float(2**52)
     keyed = rows.withColumn("__w", weight.cast("double")).filter("__w > 0").withColumn("__key", -F.log1p(-u) / F.col("__w"))
-    return keyed.orderBy("__key", *identity).limit(n).drop("__w", "__key")
+    return first_rows(keyed, ["__key", *identity], n).drop("__w", "__key")
 
 
 # --- cohorts ---------------------------------------------------------------------------------------------------------------
@@ -225,7 +225,7 @@ def select_cohort(rows: DataFrame, identifier: str, spec: CohortSpec, strata: li
 
     Each row has a position j in the hash order of its stratum and so a place in the schedule of all strata: forced
     places (j below the minimum) first, then by falling size / (2 j + 1). Larger samples hold smaller ones. The schedule
-    is one sort key, so the sample is one ordered limit; null strata are strata.
+    is one sort key, so the sample is the first rows by it; null strata are strata.
     """
     # the position within a stratum comes from one global order, so a stratum of a third of all rows is no single task
     sizes = rows.groupBy(*strata).agg(F.count(F.lit(1)).alias("__size"))
@@ -251,5 +251,5 @@ def select_cohort(rows: DataFrame, identifier: str, spec: CohortSpec, strata: li
     if want >= total:
         chosen = ordered
     else:
-        chosen = ordered.orderBy("__a", "__b", "__stratum").limit(want)
+        chosen = first_rows(ordered, ["__a", "__b", "__stratum"], want)
     return dense_index(chosen, ["__a", "__b", "__stratum"], "sampling_rank").select(*rows.columns, "sampling_rank")

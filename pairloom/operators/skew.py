@@ -61,6 +61,35 @@ def lookup(rows: DataFrame, table: DataFrame, key: str, values: Sequence[str], h
     return joined.select(*rows.columns, *(F.coalesce(v, mine[v]).alias(v) for v in values))
 
 
+#: Tables of at most this many rows are broadcast whole by :func:`endpoint_lookup`.
+BROADCAST_ROWS = 200_000
+
+
+def endpoint_lookup(
+    rows: DataFrame, table: DataFrame, key: str, values: Sequence[str], sides: Sequence[str] = ("protein_a", "protein_b"),
+    suffixes: Sequence[str] = ("_a", "_b"), broadcast_rows: int = BROADCAST_ROWS, share: float = HOT_SHARE, floor: int = HOT_FLOOR,
+) -> DataFrame:
+    """``rows`` with ``<value><suffix>`` for each side, looked up in ``table`` (one row per ``key``); null where there is
+    none. A table of up to ``broadcast_rows`` rows is broadcast; for a larger one, hot keys meet a broadcast of their part
+    and the others a shuffle join, so no hub unbalances it."""
+    table = table.select(key, *values)
+    small = table.limit(broadcast_rows + 1).count() <= broadcast_rows
+    hot: list = []
+    if not small:
+        rows = materialize(rows, "endpoints")
+        ends = rows.select(F.explode(F.array(*sides)).alias(key))
+        hot = hot_keys(ends, key, len(sides) * rows.count(), share, floor)
+    out = rows
+    for side, suffix in zip(sides, suffixes, strict=True):
+        mine = f"__{side}"
+        right = table.select(F.col(key).alias(mine), *(F.col(v).alias(f"{v}{suffix}") for v in values))
+        if small:
+            out = out.join(F.broadcast(right), F.col(side) == F.col(mine), "left").drop(mine)
+        else:
+            out = lookup(out.withColumn(mine, F.col(side)), right, mine, [f"{v}{suffix}" for v in values], hot).drop(mine)
+    return out
+
+
 def sketch_heavy_hitters(rows: DataFrame, key: str, total: int, share: float = HOT_SHARE, floor: int = HOT_FLOOR) -> list:
     """Candidate heavy keys from a frequent-items sketch, a superset of the keys above ``max(floor, share * total)``.
 

@@ -15,6 +15,7 @@ from .audit import overlaps
 from .mapping import uncovered
 from .ordering import dense_index, hash_order, running_sums
 from .pairs import ConstraintError, require_empty, unordered
+from .skew import endpoint_lookup
 
 
 @dataclass(frozen=True)
@@ -82,7 +83,7 @@ def c1(rows: DataFrame, val: float = 0.1, test: float = 0.1, seed: int = 0) -> D
     anchors = ends.groupBy("entity").agg(F.max(F.struct("u", "lo", "hi")).alias("m")).select("m.lo", "m.hi").distinct()
     free = units.join(anchors, ["lo", "hi"], "left_anti")
     total = units.agg(F.sum("size")).first()[0] or 0
-    run = running_sums(free, [], "u", {"upto": "size"}, descending=False)
+    run = running_sums(free, [], "u", {"upto": "size"}, descending=False, ties=["lo", "hi"])
     middle = F.col("upto") - F.col("size") / 2.0
     place = F.when(middle <= test * total, "test").when(middle <= (test + val) * total, "val").otherwise("train")
     held = run.select(F.col("lo").alias("__lo"), F.col("hi").alias("__hi"), place.alias("__place"))
@@ -132,7 +133,7 @@ def _ranked_groups(groups: DataFrame, seeds: Sequence[int]) -> DataFrame:
     names = groups.select("group_id").distinct().select("group_id", trial.alias("t"))
     u = F.conv(F.substring(F.md5(F.concat_ws("|", "t.seed", "group_id")), 1, 13), 16, 10).cast("double")
     keyed = names.select("t.trial", "group_id", u.alias("u"), F.lit(1).alias("one"))
-    return running_sums(keyed, ["trial"], "u", {"rank": "one"}, descending=False).select("trial", "group_id", "rank")
+    return running_sums(keyed, ["trial"], "u", {"rank": "one"}, descending=False, ties=["group_id"]).select("trial", "group_id", "rank")
 
 
 def partitions(groups: DataFrame, counts: Sequence[int], seeds: Sequence[int]) -> DataFrame:
@@ -150,21 +151,27 @@ def _place(mode: str, a: Column, b: Column) -> Column:
     return split.when((low == 1) & (high == 1), "val").when((low == 2) & (high == 2), "test").otherwise("dropped")
 
 
-def place_groups(rows: DataFrame, groups: DataFrame, parts: DataFrame, mode: str) -> DataFrame:
-    """``rows`` with the groups of both endpoints and ``split`` (with ``dropped``), once per trial of ``parts``.
+def _with_groups(rows: DataFrame, groups: DataFrame) -> DataFrame:
+    """``rows`` with ``group_a`` and ``group_b``; rows of an endpoint without a group are left out."""
+    named = endpoint_lookup(rows, groups.withColumnRenamed("group_id", "group"), "protein_id", ["group"])
+    return named.filter("group_a is not null and group_b is not null")
+
+
+def _placed(grouped: DataFrame, parts: DataFrame, mode: str) -> DataFrame:
+    """``grouped`` once per trial of ``parts``, with ``split`` (dropped included) and the group on the training side.
 
-    All trials travel as one array per group, so many trials cost the two joins of one.
+    All trials travel as one array per group, so many trials cost the two look-ups of one.
     """
-    arrays = parts.groupBy("group_id").agg(F.array_sort(F.collect_list(F.struct("trial", "part"))).alias("parts"))
-    member = materialize(groups.join(arrays, "group_id"), "members")
-    out = rows
-    for s in ("a", "b"):
-        side = member.select(F.col("protein_id").alias(f"__{s}"), F.col("group_id").alias(f"group_{s}"), F.col("parts").alias(f"parts_{s}"))
-        out = out.join(side, F.col(f"protein_{s}") == F.col(f"__{s}")).drop(f"__{s}")
-    zipped = F.explode(F.arrays_zip("parts_a", "parts_b"))
-    flat = out.select(*rows.columns, "group_a", "group_b", zipped.alias("z"))
+    arrays = materialize(parts.groupBy("group_id").agg(F.array_sort(F.collect_list(F.struct("trial", "part"))).alias("parts")), "group-parts")
+    out = endpoint_lookup(grouped, arrays, "group_id", ["parts"], ("group_a", "group_b"), broadcast_rows=20_000)
+    flat = out.select(*grouped.columns, F.explode(F.arrays_zip("parts_a", "parts_b")).alias("z"))
     trial, pa, pb = F.col("z.parts_a.trial"), F.col("z.parts_a.part"), F.col("z.parts_b.part")
-    return flat.select(*rows.columns, "group_a", "group_b", trial.alias("trial"), _place(mode, pa, pb).alias("split"), F.when(pa == 0, F.col("group_a")).when(pb == 0, F.col("group_b")).alias("train_group"))
+    return flat.select(*grouped.columns, trial.alias("trial"), _place(mode, pa, pb).alias("split"), F.when(pa == 0, F.col("group_a")).when(pb == 0, F.col("group_b")).alias("train_group"))
+
+
+def place_groups(rows: DataFrame, groups: DataFrame, parts: DataFrame, mode: str) -> DataFrame:
+    """``rows`` with the groups of both endpoints and ``split`` (with ``dropped``), once per trial of ``parts``."""
+    return _placed(_with_groups(rows, groups), parts, mode)
 
 
 def unrepresented(placed: DataFrame, *by: str) -> DataFrame:
@@ -179,12 +186,13 @@ def _unrepresented_rows(placed: DataFrame) -> DataFrame:
 
 
 def trial_scores(placed: DataFrame, mode: str, val: float, test: float) -> DataFrame:
-    """Per trial that is valid: kept pairs, size error and label error.
+    """Per trial that is valid: kept pairs, size error and label error, from rows or from cells of ``n_rows`` rows.
 
     A trial is valid if every split holds every label and, in C2, every group on the training side of a held-out pair
     occurs in a training pair.
     """
-    counts = placed.groupBy("trial", "split", "label").agg(F.count(F.lit(1)).alias("n"))
+    n = F.sum("n_rows") if "n_rows" in placed.columns else F.count(F.lit(1))
+    counts = placed.groupBy("trial", "split", "label").agg(n.alias("n"))
     overall = counts.groupBy("trial", "label").agg(F.sum("n").alias("n_all"))
     overall = overall.withColumn("rate_all", F.col("n_all") / F.sum("n_all").over(W.partitionBy("trial")))
     kept = counts.filter("split <> 'dropped'").withColumn("n_split", F.sum("n").over(W.partitionBy("trial", "split")))
@@ -237,17 +245,21 @@ def entity_split(
         held = min(max(1, round(n_groups * held_out_fraction(mode, test))), n_groups - 1)
         counts = (n_groups - held, 0, held)
     parts = materialize(partitions(groups, counts, [seed + t for t in range(n_trials)]), "parts")
-    placed = place_groups(rows, groups, parts, mode)
-    scores = trial_scores(placed, mode, val, test).collect()
+    grouped = materialize(_with_groups(rows, groups), "grouped-rows")
+    # trials are scored on counts per pair of groups and label, so no row is repeated for every trial
+    cells = materialize(grouped.groupBy("group_a", "group_b", "label").agg(F.count(F.lit(1)).alias("n_rows")), "group-cells")
+    scored = _placed(cells, parts, mode)
+    scores = trial_scores(scored, mode, val, test).collect()
     if not scores:
         raise ConstraintError(f"none of {n_trials} assignments is valid")
     key = lambda r: (-r["n_kept"], r["size_error"], r["label_error"])
     best = min(map(key, scores))
     tied = sorted(r["trial"] for r in scores if key(r) == best)
     if len(tied) > 1:
-        distance = {r["trial"]: r["distance"] for r in trial_distances(placed, tied).collect()}
+        among = _placed(grouped, parts.filter(F.col("trial").isin(tied)), mode)
+        distance = {r["trial"]: r["distance"] for r in trial_distances(among, tied).collect()}
         tied.sort(key=lambda t: (distance.get(t, math.inf), t))
-    chosen = place_groups(rows, groups, parts.filter(F.col("trial") == tied[0]), mode)
+    chosen = _placed(grouped, parts.filter(F.col("trial") == tied[0]), mode)
     reason = F.when(F.col("split") == "dropped", STRATEGIES[mode].drop_reason)
     return chosen.select(*rows.columns, "split", reason.alias("drop_reason"))
 
@@ -309,10 +321,8 @@ def invariants(rows: DataFrame, mode: str) -> DataFrame:
     if mode == "c1":
         checks.append(ends.agg(F.count_if(~in_train).alias("n_violations")).select(F.lit("held_out_endpoints_in_train").alias("invariant"), "n_violations"))
     else:
-        flags = ends.select(F.col("p"), in_train.alias("t"))
-        held = kept.filter("split <> 'train'")
-        joined = held.join(flags.select(F.col("p").alias("protein_a"), F.col("t").alias("ta")), "protein_a").join(flags.select(F.col("p").alias("protein_b"), F.col("t").alias("tb")), "protein_b")
-        n_train = F.col("ta").cast("int") + F.col("tb").cast("int")
+        joined = endpoint_lookup(kept.filter("split <> 'train'"), ends.select("p", in_train.alias("t")), "p", ["t"])
+        n_train = F.coalesce(F.col("t_a").cast("int"), F.lit(0)) + F.coalesce(F.col("t_b").cast("int"), F.lit(0))
         want = 1 if mode == "c2" else 0
         checks.append(joined.agg(F.count_if(n_train != want).alias("n_violations")).select(F.lit(f"exactly_{want}_endpoint_in_train").alias("invariant"), "n_violations"))
     out = checks[0]

@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import plant_motif, random_sequence
-from ..operators.ordering import dense_index
+from ..operators.ordering import dense_index, first_rows
 from ..operators.pairs import ConstraintError
 
 
@@ -104,7 +104,7 @@ def pairs(members: DataFrame, o: ToyOptions) -> DataFrame:
     rows = rows.withColumn("latent_score", bonus + F.col("hub").cast("int") * 0.5 + 0.5 * noise)
     weight = F.when(F.col("hub"), 3.0).otherwise(1.0) * (1 + bonus)
     key = F.when(F.col("in_chain"), -1.0).otherwise(-F.log1p(-_u(o.seed, F.lit("w"), "protein_a", "protein_b")) / weight)
-    chosen = rows.withColumn("key", key).orderBy("key", "protein_a", "protein_b").limit(o.pairs)
+    chosen = first_rows(rows.withColumn("key", key), ["key", "protein_a", "protein_b"], o.pairs)
     ranked = dense_index(chosen, [F.desc("latent_score"), "protein_a", "protein_b"], "rank")
     clean = (F.col("rank") < round(o.pairs * o.positive_rate)).cast("int")
     flip = _u(o.seed, F.lit("flip"), "protein_a", "protein_b") < o.label_noise
