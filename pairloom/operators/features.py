@@ -12,10 +12,14 @@ from ..session import materialize
 from .skew import endpoint_lookup
 
 
+def _even(text: Column) -> Column:
+    return F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", " ")
+
+
 def kmers(text: Column, k: int = 3) -> Column:
     """Overlapping, case-sensitive character k-mers; runs of whitespace count as one space; null and shorter texts give
     the empty array."""
-    s = F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", " ")
+    s = _even(text)
     return F.when(F.length(s) >= k, F.transform(F.sequence(F.lit(1), F.length(s) - (k - 1)), lambda i: F.substr(s, i, F.lit(k)))).otherwise(F.array().cast("array<string>"))
 
 
@@ -25,8 +29,10 @@ def term_counts(rows: DataFrame, row_id: str, text: str, k: int = 3) -> DataFram
     The texts are spread by row before they are cut, which moves far fewer bytes than their k-mers; the count per row and
     term is local then. The number of partitions is given, as texts look small to the adaptive planner.
     """
-    spread = _by_row(rows.select(F.col(row_id).alias("row_id"), F.col(text).alias("text")))
-    return spread.select("row_id", F.explode(kmers(F.col("text"), k)).alias("term")).groupBy("row_id", "term").agg(F.count(F.lit(1)).alias("tf"))
+    spread = _by_row(rows.select(F.col(row_id).alias("row_id"), _even(F.col(text)).alias("s"))).filter(F.length("s") >= k)
+    # one row per place: substrings in generated code, where an array of them would be interpreted
+    places = spread.select("row_id", "s", F.explode(F.sequence(F.lit(1), F.length("s") - (k - 1))).alias("i"))
+    return places.select("row_id", F.substr("s", F.col("i"), F.lit(k)).alias("term")).groupBy("row_id", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def _by_row(rows: DataFrame) -> DataFrame:
