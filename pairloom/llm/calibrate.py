@@ -30,6 +30,7 @@ class Category:
 def set_targets(categories: list[Category], size: int, minimum: int, nominal: int) -> None:
     """Expected counts: floors and exhausted categories are fixed, the rest shares what remains by its shares.
 
+    Floors win: if they need more rows than ``size``, the sample is as large as they need and holds nothing else.
     ``nominal`` is the size asked for, from which ``wanted`` follows; ``size`` is at most the number of rows.
     """
     for c in categories:
@@ -72,6 +73,48 @@ def tilt(categories: list[Category], size: int, population: int, tolerance: floa
     return done
 
 
+def tilt_margins(cells: dict[tuple, int], targets: list[dict], size: int, population: int, tolerance: float = 1e-9, steps: int = 200) -> dict[tuple, float]:
+    """Inclusion probability of each cell whose counts meet the targets of several overlapping margins at once.
+
+    A cell is a tuple with one value per margin, ``targets[m]`` gives the rows wanted per value of margin m, and a cell
+    has the probability base * exp(sum of the multipliers of its values), at most 1. The dual is minimised by Newton
+    steps with its full Hessian, the matrix of joint counts of the values, which needs nothing but the cell counts that
+    the cluster has summed up. Margins are redundant (each sums to the size), so steps are least-squares solutions. Cells
+    that would need more rows than they have are taken whole and leave the targets. Cells with a value that no target
+    names, or with a target of 0, have probability 0. Targets that contradict each other are met as nearly as the last
+    step does.
+    """
+    live = [k for k in cells if cells[k] > 0 and all(t.get(v, 0) > 0 for t, v in zip(targets, k, strict=True))]
+    out = dict.fromkeys(cells, 0.0)
+    if not live:
+        return out
+    names = [(m, v) for m, t in enumerate(targets) for v in t if t[v] > 0]
+    row_of = {x: i for i, x in enumerate(names)}
+    member = np.zeros((len(names), len(live)))
+    for j, k in enumerate(live):
+        for m, v in enumerate(k):
+            member[row_of[m, v], j] = 1
+    n = np.array([cells[k] for k in live], float)
+    want = np.array([targets[m][v] for m, v in names], float)
+    base, whole, lam = min(1.0, size / max(population, 1)) or 1.0, np.zeros(len(live), bool), np.zeros(len(names))
+    for _ in range(len(live) + 1):
+        for _ in range(steps):
+            moment = np.where(whole, n, n * base * np.exp(np.clip(lam @ member, -50, 50)))
+            gradient = member @ moment - want
+            if np.max(np.abs(gradient) / np.maximum(want, 1)) < tolerance:
+                break
+            hessian = (member * np.where(whole, 0, moment)) @ member.T
+            lam -= np.clip(np.linalg.lstsq(hessian, gradient, rcond=1e-12)[0], -2, 2)
+        p = np.where(whole, 1.0, base * np.exp(np.clip(lam @ member, -50, 50)))
+        over = p > 1 + 1e-9
+        if not over.any():
+            break
+        whole |= over
+    for k, x in zip(live, p, strict=True):
+        out[k] = min(1.0, float(x))
+    return out
+
+
 def pivotal(p: np.ndarray, rng: np.random.Generator) -> np.ndarray:
     """Pivotal method: duels between neighbours until at most one unit is undecided; sums and expectations are kept."""
     p = p.astype(float).copy()
@@ -91,48 +134,54 @@ def pivotal(p: np.ndarray, rng: np.random.Generator) -> np.ndarray:
     return p
 
 
-def _draw(units: DataFrame, seed: int, level: int) -> DataFrame:
-    """One level of duels: per (category, block) all units but at most one are decided; losers are gone."""
+def _draw(units: DataFrame, seed: int, level: int, by: list[str]) -> DataFrame:
+    """One level of duels: per group of ``by`` all units but at most one are decided; losers are gone."""
 
     def duel(key, pdf):
         import numpy as np
         import pandas as pd
 
         pdf = pdf.sort_values(["__rank", "unit_id"], kind="stable")
-        rng = np.random.default_rng([seed & (2**63 - 1), level, int(key[0]) + 1, int(key[1]) + 1])
+        rng = np.random.default_rng([seed & (2**63 - 1), level, *(int(k) + 1 for k in key)])
         p = pivotal(pdf["p"].to_numpy(), rng)
         kept = p > 1e-9
         return pd.DataFrame({"unit_id": pdf["unit_id"][kept], "category": pdf["category"][kept], "p": np.where(p[kept] > 1 - 1e-9, 1.0, p[kept])})
 
     ranked = units.withColumn("__rank", F.xxhash64(F.lit(seed), "unit_id"))
-    return ranked.groupBy("category", "__block").applyInPandas(duel, "unit_id bigint, category int, p double")
+    return ranked.groupBy(*by).applyInPandas(duel, "unit_id bigint, category int, p double")
 
 
 def draw(units: DataFrame, categories: list[Category], seed: int) -> DataFrame:
     """(``unit_id``, ``category``) of a fixed-size sample from ``units`` (``unit_id``, ``category``).
 
     Blocks are cut by a hash of the unit, so the result doesn't depend on the partitioning. Each level leaves at most
-    one undecided unit per block, so levels shrink by ``BLOCK_ROWS``; at most ``BLOCK_ROWS`` of them meet in the last,
+    one undecided unit per block, so levels shrink by ``BLOCK_ROWS``, first within each category, and once each has one
+    block left, across them, however many categories there are; at most ``BLOCK_ROWS`` units meet in the last level,
     which runs across categories and so keeps the total.
     """
     spark = units.sparkSession
-    probability = [(i, c.probability, max(1, -(-c.available // BLOCK_ROWS))) for i, c in enumerate(categories) if c.probability > 0]
-    table = F.broadcast(spark.createDataFrame(probability, "category int, p double, blocks bigint"))
-    known = units.join(table, "category")
-    sure = known.filter("p >= 1").select("unit_id", "category")
-    open_ = known.filter("p < 1").withColumn("__block", F.pmod(F.xxhash64(F.lit(seed), F.lit("block"), "unit_id"), F.col("blocks")))
-    left = sum(b for _, p, b in probability if p < 1)
-    decided, level = [sure], 0
+    probability = [(i, c.probability) for i, c in enumerate(categories) if c.probability > 0]
+    blocks = {i: max(1, -(-categories[i].available // BLOCK_ROWS)) for i, p in probability if p < 1}
+    known = units.join(F.broadcast(spark.createDataFrame(probability, "category int, p double")), "category")
+    decided = [known.filter("p >= 1").select("unit_id", "category")]
+    rest, level, left = known.filter("p < 1"), 0, 0
     while True:
-        drawn = materialize(_draw(open_.select("unit_id", "category", "p", "__block"), seed, level), f"drawn-{level}")
+        place = F.xxhash64(F.lit(seed), F.lit(level) if level else F.lit("block"), "unit_id")
+        if blocks:
+            table = F.broadcast(spark.createDataFrame(list(blocks.items()), "category int, blocks bigint"))
+            open_ = rest.join(table, "category").withColumn("__block", F.pmod(place, F.col("blocks")))
+            left = sum(blocks.values())
+        else:
+            left = max(1, -(-left // BLOCK_ROWS))
+            open_ = rest.withColumn("__block", F.pmod(place, F.lit(left)))
+        drawn = materialize(_draw(open_.select("unit_id", "category", "p", "__block"), seed, level, ["category", "__block"] if blocks or not level else ["__block"]), f"drawn-{level}")
         decided.append(drawn.filter("p = 1").select("unit_id", "category"))
         rest = drawn.filter("p < 1")
         level += 1
         if left <= BLOCK_ROWS:
             break
-        blocks = -(-left // BLOCK_ROWS)
-        open_ = rest.withColumn("__block", F.pmod(F.xxhash64(F.lit(seed), F.lit(level), "unit_id"), F.lit(blocks)))
-        left = blocks * len(probability)
+        # blocks of one category meet again until each category has at most one row left; then categories meet
+        blocks = {i: -(-n // BLOCK_ROWS) for i, n in blocks.items()} if any(n > 1 for n in blocks.values()) else {}
     last = sorted(tuple(r) for r in rest.select("category", "unit_id", "p").collect())
     p = pivotal(np.array([r[2] for r in last]), np.random.default_rng([seed & (2**63 - 1), 10**6])) if last else np.array([])
     # within a category first (sorted), then across; a last lone unit is settled by rounding, so the size is exact

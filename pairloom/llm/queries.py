@@ -79,8 +79,8 @@ _CATEGORY_TYPES = [("system_type", "string"), ("label", "int")]
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, _, categories = _calibrated(spark, sf_dir)
-    return calibrate.report(spark, categories, _CATEGORY_TYPES).filter(calibrate.falls_short()).select(*_CATEGORY)
+    """Categories of which the drawn sample holds fewer rows than wanted because there are no more."""
+    return p3_report(spark, sf_dir).filter(F.col("drawn") < F.col("wanted")).filter(calibrate.falls_short()).select(*_CATEGORY)
 
 
 def p3_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -97,6 +97,41 @@ def p3_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return calibrate.report(spark, categories, _CATEGORY_TYPES, counts)
 
 
+def p3_margins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A sample of the same size in which system types and labels follow their shares apart from each other, as counts
+    per value of each margin."""
+    pairs = load(spark, sf_dir, "pairs")
+    spec = load(spark, sf_dir, "sampling_specs").filter("spec_name = 'proportional'").first()
+    wanted = load(spark, sf_dir, "sampling_targets").limit(calibrate.MAX_CATEGORIES + 1).collect()
+    shares: list[dict] = [{}, {}]
+    for t in wanted:
+        for m, v in enumerate((t["system_type"], t["label"])):
+            shares[m][v] = shares[m].get(v, 0) + t["target_per_mille"]
+    pairs_of = [calibrate.Category((a, b), 0) for a in shares[0] for b in shares[1]]
+    calibrate.count_categories(pairs.select(*_CATEGORY), _CATEGORY, pairs_of)
+    population = sum(c.available for c in pairs_of)
+    nominal = calibrate.nominal_size(spec["max_examples"], spec["fraction"], pairs.count())
+    size = min(nominal, population)
+    targets, margins = [], []
+    for m, by in enumerate(shares):
+        values = [calibrate.Category((v,), w, sum(c.available for c in pairs_of if c.key[m] == v)) for v, w in by.items()]
+        calibrate.set_targets(values, size, 0, nominal)
+        margins.append(values)
+        targets.append({c.key[0]: c.target for c in values})
+    chances = calibrate.tilt_margins({c.key: c.available for c in pairs_of}, targets, size, population)
+    for c in pairs_of:
+        c.probability = chances[c.key] if chances[c.key] < 1 - 1e-9 else 1.0
+    units = calibrate.category_index(pairs.select(F.col("source_row_index").alias("unit_id"), *_CATEGORY), _CATEGORY, pairs_of)
+    drawn = calibrate.draw(units.filter("category is not null").select("unit_id", "category"), pairs_of, spec["seed"])
+    counts = {r[0]: r[1] for r in drawn.groupBy("category").count().collect()}
+    rows = []
+    for m, (name, values) in enumerate(zip(_CATEGORY, margins, strict=True)):
+        for c in values:
+            n = sum(counts.get(i, 0) for i, x in enumerate(pairs_of) if x.key[m] == c.key[0])
+            rows.append((name, str(c.key[0]), c.per_mille, c.available, round(c.target, 6), n))
+    return spark.createDataFrame(rows, "margin string, value string, target_per_mille int, available bigint, target double, drawn bigint")
+
+
 # --- p5: splits that keep related records together ---------------------------------------------------------------------
 
 
@@ -267,7 +302,7 @@ k as (select source_row_index, label, case when named then least(a, b) else a en
 
 def queries() -> dict:
     return {
-        "p2_found": p2_found, "p2_report": p2_report, "p3_found": p3_found, "p3_sample": p3_sample, "p3_report": p3_report,
+        "p2_found": p2_found, "p2_report": p2_report, "p3_found": p3_found, "p3_sample": p3_sample, "p3_report": p3_report, "p3_margins": p3_margins,
         "p5_found": p5_found, "p5_splits": p5_splits, "p5_report": p5_report, "p6_found": p6_found, "p6_records": p6_records,
         "p7_sample": p7_sample, "p8_ids": p8_ids, "p8_roundtrip": p8_roundtrip, "p9_mix": p9_mix, "p9_report": p9_report,
         "p10_found": p10_found, "p10_coherence": p10_coherence,

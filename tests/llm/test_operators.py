@@ -128,6 +128,41 @@ def test_draw_is_exact_and_layout_free(spark, monkeypatch):
     assert all(abs(n - c[k].target) < 1 for k, n in Counter(k for _, k in a).items())
 
 
+@pytest.mark.parametrize("n", [49_000, 50_001, 120_000])
+def test_levels_of_the_draw_end(n):
+    """Blocks shrink from level to level for any number of open categories."""
+    blocks, left, levels = {i: 1 + i % 3 for i in range(n)}, None, 0
+    while left is None or left > calibrate.BLOCK_ROWS:
+        left = sum(blocks.values()) if blocks else -(-left // calibrate.BLOCK_ROWS)
+        blocks = {i: -(-b // calibrate.BLOCK_ROWS) for i, b in blocks.items()} if any(b > 1 for b in blocks.values()) else {}
+        levels += 1
+    assert levels <= 4
+
+
+def test_draw_from_more_categories_than_a_block_holds(spark, monkeypatch):
+    monkeypatch.setattr(calibrate, "BLOCK_ROWS", 20)
+    c = categories([3] * 90, [1] * 90)
+    for x in c:
+        x.probability = 0.5
+    units = spark.createDataFrame([(i, i // 3) for i in range(270)], "unit_id bigint, category int")
+    drawn = calibrate.draw(units, c, 3).collect()
+    assert len(drawn) == len({r["unit_id"] for r in drawn}) == 135
+    assert set(Counter(r["category"] for r in drawn).values()) <= {1, 2}
+
+
+def test_margins_are_met_together():
+    cells = {("x", 0): 500, ("x", 1): 100, ("y", 0): 300, ("y", 1): 400, ("z", 0): 50, ("z", 1): 5}
+    targets = [{"x": 60.0, "y": 120.0, "z": 20.0}, {0: 90.0, 1: 110.0}]
+    p = calibrate.tilt_margins(cells, targets, 200, 1355)
+    for m, t in enumerate(targets):
+        for v, want in t.items():
+            assert sum(p[k] * n for k, n in cells.items() if k[m] == v) == pytest.approx(want, rel=1e-6)
+    assert p["x", 0] * p["y", 1] == pytest.approx(p["x", 1] * p["y", 0])  # one multiplier per value
+    scarce = calibrate.tilt_margins(cells, [{"x": 60.0, "y": 90.0, "z": 50.0}, {0: 90.0, 1: 110.0}], 200, 1355)
+    assert scarce["z", 1] == 1.0 and sum(scarce[k] * n for k, n in cells.items() if k[0] == "z") == pytest.approx(50, rel=1e-6)
+    assert calibrate.tilt_margins({}, [{}, {}], 10, 0) == {} and calibrate.tilt_margins({("q", 0): 5}, targets, 5, 5) == {("q", 0): 0.0}
+
+
 # --- cross-split overlap ---------------------------------------------------------------------------------------------------
 
 
