@@ -11,7 +11,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from pairloom.llm import calibrate, dedup, mixture, overlap, spam, stable_sample, tokenize
+from pairloom.llm import calibrate, dedup, grouped_split, mixture, overlap, spam, stable_sample, tokenize
 from pairloom.llm.grouped_split import GroupedSplit, Unit, place
 from pairloom.operators.components import connected_components
 
@@ -242,10 +242,47 @@ def test_place_meets_shares():
     out = place(units, shares)
     total = sum(sum(u.labels) for u in units)
     for s, w in shares.items():
-        assert abs(sum(sum(u.labels) for u in units if out[u.name] == s) / total - w) < 0.02
+        assert abs(sum(sum(u.labels) * out[u.name][s] for u in units) / total - w) < 0.02
+    assert all(sum(out[u.name].values()) == 1 for u in units)
     assert place([], shares) == {}
 
 
+def test_place_of_many_like_units_is_the_one_by_one_greedy():
+    """Levelling the needs gives each split as many units as placing them one after the other, within one."""
+    shares = {"train": 0.7, "val": 0.2, "test": 0.1}
+    for labels in ((3, 0, 1), (0, 2, 0), (5, 5, 5)):
+        many = place([Unit("x", labels, 997)], shares)["x"]
+        need = {s: w * 997 for s, w in shares.items()}
+        one = Counter()
+        for _ in range(997):
+            s = max(need, key=lambda k: need[k])
+            one[s] += 1
+            need[s] -= 1
+        assert sum(many.values()) == 997 and all(abs(many[s] - one[s]) <= 1 for s in shares)
+
+
+@pytest.mark.parametrize("most", [4, 60, 100_000])
+def test_classes_get_coarser_not_cut(spark, monkeypatch, most):
+    """However few classes are allowed, every group is placed whole and shares are kept."""
+    monkeypatch.setattr(grouped_split, "MOST_CLASSES", most)
+    monkeypatch.setattr(grouped_split, "LARGE_SHARE", 1)
+    r = random.Random(7)
+    data, i = [], 0
+    for g in range(400):
+        for _ in range(r.randrange(1, 12)):
+            data.append((i, 10 * g, 10 * g + r.randrange(4), r.choice([0, 1, None])))
+            i += 1
+    df = spark.createDataFrame(data, "row_id bigint, a bigint, b bigint, label int")
+    out = GroupedSplit(df, len(data)).assign({"train": 0.6, "val": 0.2, "test": 0.2}).collect()
+    assert sorted(x["row_id"] for x in out) == list(range(len(data)))
+    by_root = defaultdict(set)
+    for x in out:
+        by_root[x["root"]].add(x["split"])
+    assert all(len(v) == 1 for v in by_root.values())
+    sizes = Counter(x["split"] for x in out)
+    assert all(abs(sizes[s] / len(data) - w) < 0.05 for s, w in (("train", 0.6), ("val", 0.2), ("test", 0.2)))
+
+
 @pytest.mark.parametrize("floor", FLOORS)
 def test_grouped_split(spark, floor):
     r = random.Random(2)
