@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.skew import HOT_FLOOR, HOT_SHARE, balanced_join, hot_keys, key_hash, with_group_min
+from ..operators.skew import HOT_FLOOR, HOT_SHARE, grid_join, hot_keys, key_hash, with_group_min
 from ..session import materialize
 
-#: Pairs of rows that one task writes for one pair of classes.
-PAIRS_PER_PART = 1_000_000
+#: Rows of a class that meet as one part with those of another.
+PART_ROWS = 1000
 
 
 def band_plan(threshold: float, most_shingles: int | None = None, missed: float = 1e-3) -> tuple[int, int]:
@@ -72,42 +72,39 @@ class CrossSplitOverlap:
         self.share, self.floor, self.total = share, floor, total
         rows = materialize(rows, "overlap-rows")
         hot = hot_keys(rows, key_hash("is_train", "shingles"), total, share, floor)
-        self.members = materialize(with_group_min(rows, ["is_train", "shingles"], "row_id", "class_id", hot), "overlap-members")
-        self.sizes = self.members.groupBy("class_id").agg(F.count(F.lit(1)).alias("n"))
+        # every member knows the size of its class
+        self.members = materialize(with_group_min(rows, ["is_train", "shingles"], "row_id", "class_id", hot, "class_rows"), "overlap-members")
         bands, width = band_plan(threshold, most_shingles)
-        classes = self.members.filter("row_id = class_id").select(
-            "class_id", "is_train", "shingles", F.posexplode(signature(F.col("shingles"), bands, width, most_shingles)).alias("band", "bucket")
+        classes = self.members.filter("row_id = class_id").dropDuplicates(["class_id", "is_train"]).select(
+            "class_id", "class_rows", "is_train", "shingles", F.posexplode(signature(F.col("shingles"), bands, width, most_shingles)).alias("band", "bucket")
         )
         side = lambda train, name: classes.filter(F.col("is_train") == train).select(
-            "band", "bucket", F.col("class_id").alias(f"{name}_class"), F.col("shingles").alias(f"{name}_shingles")
+            "band", "bucket", F.col("class_id").alias(f"{name}_class"), F.col("class_rows").alias(f"n_{name}"), F.col("shingles").alias(f"{name}_shingles")
         )
-        candidates = side(True, "train").join(side(False, "eval"), ["band", "bucket"])
-        confirmed = candidates.filter(jaccard(F.col("train_shingles"), F.col("eval_shingles")) >= threshold).select("train_class", "eval_class")
-        if bands > 1:
-            confirmed = confirmed.distinct()
-        n = lambda name: self.sizes.select(F.col("class_id").alias(f"{name}_class"), F.col("n").alias(f"n_{name}"))
-        self.confirmed = materialize(confirmed.join(n("train"), "train_class").join(n("eval"), "eval_class"), "overlap-classes")
+        # a bucket may hold any number of classes on both sides
+        candidates = grid_join(side(True, "train"), side(False, "eval"), ["band", "bucket"], F.col("train_class"), F.col("eval_class"), PART_ROWS)
+        confirmed = candidates.filter(jaccard(F.col("train_shingles"), F.col("eval_shingles")) >= threshold)
+        confirmed = confirmed.select("train_class", "eval_class", "n_train", "n_eval")
+        self.confirmed = materialize(confirmed.distinct() if bands > 1 else confirmed, "overlap-classes")
 
     def row_pairs(self) -> DataFrame:
-        """(``train_id``, ``eval_id``) for every confirmed pair of rows, large classes in parts of bounded output."""
-        parts = F.ceil(F.col("n_train") * F.col("n_eval") / PAIRS_PER_PART).cast("bigint")
-        # never more parts than training rows
-        pairs = self.confirmed.select("train_class", "eval_class", "n_train", "n_eval", F.greatest(F.lit(1), F.least(parts, F.col("n_train"))).alias("parts"))
-        limit = max(self.floor, self.share * self.total)
-        hot = lambda name: [  # noqa: E731  at most 1 / share classes are that large
-            r[0] for r in self.confirmed.filter(F.col(f"n_{name}") > limit).select(f"{name}_class").distinct().collect()
-        ]
-        members = self.members.select("row_id", "class_id")
-        train = balanced_join(
-            members.select(F.col("row_id").alias("train_id"), F.col("class_id").alias("train_class")),
-            pairs.select("train_class", "eval_class", "parts"), "train_class", hot("train"),
-        ).withColumn("part", F.pmod(F.xxhash64("train_id"), F.col("parts")))
-        evaluation = balanced_join(
-            members.select(F.col("row_id").alias("eval_id"), F.col("class_id").alias("eval_class")),
-            pairs.select("train_class", "eval_class", "parts"), "eval_class", hot("eval"),
-        ).withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)))
-        on = ["train_class", "eval_class", "part"]
-        return train.select(*on, "train_id").join(evaluation.select(*on, "eval_id"), on).select("train_id", "eval_id")
+        """(``train_id``, ``eval_id``) for every confirmed pair of rows.
+
+        Classes are cut on both sides into parts of about PART_ROWS rows, and each pair of parts is a cell of its own, so
+        a class of one row and one of 10^9 are unfolded by as many tasks as two large ones.
+        """
+        parts = lambda n: F.ceil(F.col(n) / PART_ROWS).cast("bigint")
+        each = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), parts(n) - 1))
+        cells = self.confirmed.select("train_class", "eval_class", "n_eval", each("n_train").alias("train_part"))
+        cells = cells.select("train_class", "eval_class", "train_part", each("n_eval").alias("eval_part"))
+        member = lambda train, name: self.members.filter(F.col("is_train") == train).select(
+            F.col("row_id").alias(f"{name}_id"), F.col("class_id").alias(f"{name}_class"),
+            F.pmod(F.xxhash64("row_id"), parts("class_rows")).alias(f"{name}_part"),
+        )
+        # one class may meet any number of others, so its cells are spread as well
+        met = grid_join(cells, member(True, "train"), ["train_class", "train_part"], F.hash("eval_class", "eval_part"), F.col("train_id"), PART_ROWS)
+        met = met.select("train_id", "eval_class", "eval_part")
+        return grid_join(met, member(False, "eval"), ["eval_class", "eval_part"], F.col("train_id"), F.col("eval_id"), PART_ROWS).select("train_id", "eval_id")
 
     def report(self, *by: str) -> DataFrame:
         """Per value of ``by`` of the evaluation row: evaluation rows that overlap, and pairs; nothing is unfolded."""

@@ -173,7 +173,7 @@ def brute_overlap(data, threshold):
 
 @pytest.mark.parametrize("floor", FLOORS)
 def test_equal_pairs_across_splits(spark, floor, monkeypatch):
-    monkeypatch.setattr(overlap, "PAIRS_PER_PART", 20)
+    monkeypatch.setattr(overlap, "PART_ROWS", 3)
     r = random.Random(8)
     data = [(i, r.choice(["train"] * 4 + ["val", "test"]), ["H", "H2"] if r.random() < 0.3 else [r.choice(["H", "a", "b"]), f"p{r.randrange(40)}"]) for i in range(500)]
     data += [(900, "val", None), (901, "train", [])]
