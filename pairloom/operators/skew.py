@@ -174,18 +174,23 @@ def balanced_join(rows: DataFrame, table: DataFrame, key: str, hot: list) -> Dat
 CELL_ROWS = 1000
 
 
-def grid_join(left: DataFrame, right: DataFrame, keys: Sequence[str], left_id: Column, right_id: Column, cell: int = CELL_ROWS) -> DataFrame:
+def grid_join(
+    left: DataFrame, right: DataFrame, keys: Sequence[str], left_id: Column, right_id: Column, cell: int = CELL_ROWS, most_right: int | None = None
+) -> DataFrame:
     """Inner join on ``keys`` that stays balanced however many rows a key has on either side, or on both.
 
     Keys are counted on both sides first. The rows of a key with more than ``cell ** 2`` joined pairs are cut by a hash
     of their ids into parts of about ``cell`` rows, and every part of one side meets every part of the other in a cell of
     its own, so a task never holds more than some thousand rows of one cell. Repeating a row costs a ``cell``-th of the
-    pairs it takes part in.
+    pairs it takes part in. Where no key of ``right`` is known to have more than ``most_right`` rows, and no key of
+    ``left`` has enough to matter, the right side is not counted.
     """
     key = F.xxhash64(*keys)
+    of_left = left.groupBy(key.alias("__k")).agg(F.count(F.lit(1)).alias("__nl"))
+    if most_right is not None and (of_left.agg(F.max("__nl")).first()[0] or 0) * most_right <= cell * cell:
+        return left.join(right, list(keys))
     sizes = (
-        left.groupBy(key.alias("__k")).agg(F.count(F.lit(1)).alias("__nl"))
-        .join(right.groupBy(key.alias("__k")).agg(F.count(F.lit(1)).alias("__nr")), "__k")
+        of_left.join(right.groupBy(key.alias("__k")).agg(F.count(F.lit(1)).alias("__nr")), "__k")
         .filter(F.col("__nl") * F.col("__nr") > cell * cell)
     )
     parts = lambda n: F.ceil(F.col(n) / cell).cast("bigint")
