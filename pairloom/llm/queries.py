@@ -10,7 +10,7 @@ from ..plans.corpus_queries import acc_sql
 from ..session import load, materialize
 from . import calibrate, dedup, mixture, spam, tokenize
 from .grouped_split import GroupedSplit
-from .overlap import CrossSplitOverlap
+from .overlap import CrossSplitOverlap, word_shingles
 from .stable_sample import stable_sample
 
 _EDGE_SPACE = r"^[\s\p{Z}]+|[\s\p{Z}]+$"
@@ -50,6 +50,17 @@ def p2_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _overlap(spark, sf_dir).report("split", "source")
 
 
+def p2_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents in evaluation splits (a fifth, by md5 of the id) that a training document repeats or nearly repeats
+    (Jaccard similarity of five-word shingles of 0.8 or more), with the number of such training documents."""
+    documents = load(spark, sf_dir, "documents").filter("doc_id is not null")
+    digit = F.substring(F.md5(F.col("doc_id").cast("string")), 1, 2)
+    split = F.when(digit < "cd", "train").when(digit < "e6", "val").otherwise("test")
+    rows = documents.select(F.col("doc_id").alias("row_id"), split.alias("split"), (split == "train").alias("is_train"), word_shingles(F.col("text")).alias("shingles"))
+    overlap = CrossSplitOverlap(rows, documents.count())
+    return overlap.report("row_id", "split").select(F.col("row_id").alias("doc_id"), "split", F.col("n_pairs").alias("n_links"))
+
+
 # --- p3: a sample that follows target shares ---------------------------------------------------------------------------
 
 _CATEGORY = ["system_type", "label"]
@@ -277,6 +288,17 @@ r as (select id, source, split, least(a, b) as lo, greatest(a, b) as hi from nam
 o as (select t.id as train_id, e.id as eval_id, e.split, e.source from r t join r e on t.lo = e.lo and t.hi = e.hi
   where t.split = 'train' and e.split <> 'train')
 """
+_P2_TEXTS = r"""
+with d as (select doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{Nd}]+') as w, substr(md5(cast(doc_id as varchar)), 1, 2) as h
+    from documents where doc_id is not null),
+s as (select doc_id, case when h < 'cd' then 'train' when h < 'e6' then 'val' else 'test' end as split,
+    case when len(w) > 5 then list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i : i + 4], ' ')))
+    else [array_to_string(w, ' ')] end as s from d where len(w) > 0),
+x as (select doc_id, split, len(s) as n, unnest(s) as g from s),
+c as (select a.doc_id, a.split, b.doc_id as train_id, a.n as na, b.n as nb, count(*) as common from x a join x b on a.g = b.g
+    where a.split <> 'train' and b.split = 'train' group by all)
+select doc_id, split, count(*) as n_links from c where common >= 0.8 * (na + nb - common) group by all
+"""
 _P5 = rf"""
 with recursive shared as (select {acc_sql("protein_id")} as s from shared_proteins),
 e as (select source_row_index as id, {acc_sql("protein_a")} as a0, {acc_sql("protein_b")} as b0 from pairs),
@@ -302,7 +324,7 @@ k as (select source_row_index, label, case when named then least(a, b) else a en
 
 def queries() -> dict:
     return {
-        "p2_found": p2_found, "p2_report": p2_report, "p3_found": p3_found, "p3_sample": p3_sample, "p3_report": p3_report, "p3_margins": p3_margins,
+        "p2_found": p2_found, "p2_report": p2_report, "p2_texts": p2_texts, "p3_found": p3_found, "p3_sample": p3_sample, "p3_report": p3_report, "p3_margins": p3_margins,
         "p5_found": p5_found, "p5_splits": p5_splits, "p5_report": p5_report, "p6_found": p6_found, "p6_records": p6_records,
         "p7_sample": p7_sample, "p8_ids": p8_ids, "p8_roundtrip": p8_roundtrip, "p9_mix": p9_mix, "p9_report": p9_report,
         "p10_found": p10_found, "p10_coherence": p10_coherence,
@@ -313,6 +335,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "p2_found": _P2 + "select least(train_id, eval_id) as low_row_index, greatest(train_id, eval_id) as high_row_index from o",
         "p2_report": _P2 + "select split, source, count(distinct eval_id) as n_rows, count(*) as n_pairs from o group by 1, 2",
+        "p2_texts": _P2_TEXTS,
         "p3_found": """
             select t.system_type, t.label from sampling_targets t
             left join (select system_type, label, count(*) as n from pairs group by 1, 2) p on p.system_type = t.system_type and p.label = t.label
