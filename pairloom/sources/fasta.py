@@ -13,8 +13,7 @@ from .tables import _decoded_lines
 def read_records(spark: SparkSession, path: str) -> DataFrame:
     """(header, sequence, is_first): one row per record, cut at '>' after a line end, so files split between tasks."""
     if path.lower().endswith(".xz"):
-        text = _decoded_lines(spark, path, None).agg(F.concat_ws("\n", F.collect_list("value")).alias("t"))
-        records = text.select(F.explode(F.split("t", "\n(?=>)")).alias("value")).filter("trim(value) <> ''")
+        records = _decoded_lines(spark, path, None, ">").filter("trim(value) <> ''")
     else:
         records = spark.read.text(path, lineSep="\n>").filter("trim(value) <> ''")
     value = F.regexp_replace("value", r"\r", "")

@@ -30,9 +30,21 @@ def infer_separator(path: str) -> str:
         raise ConstraintError(f"no separator is known for {path}") from None
 
 
+def open_stream(path: str):
+    """A seekable byte stream of a file on any file system that pyarrow knows (file, hdfs, s3, ...)."""
+    import os
+    import re
+
+    from pyarrow import fs
+
+    uri = re.sub(r"^file:/+", "file:///", path)
+    system, inner = fs.FileSystem.from_uri(uri if "://" in uri else os.path.abspath(uri))
+    return system.open_input_file(inner)
+
+
 def zip_member(path: str, member: str | None) -> str:
     """The only file of an archive, or the one named."""
-    with zipfile.ZipFile(path.removeprefix("file://")) as z:
+    with open_stream(path) as f, zipfile.ZipFile(f) as z:
         names = [i.filename for i in z.infolist() if not i.is_dir()]
     if member is None:
         if len(names) != 1:
@@ -43,10 +55,28 @@ def zip_member(path: str, member: str | None) -> str:
     return member
 
 
-def _decoded_lines(spark: SparkSession, path: str, member: str | None) -> DataFrame:
-    """Lines of files that Hadoop cannot decode (xz, ZIP members), streamed out by one task per file."""
+def _decoded_lines(spark: SparkSession, path: str, member: str | None, start: str | None = None) -> DataFrame:
+    """Lines of files that Hadoop cannot decode (xz, ZIP members), streamed out by one task per file.
+
+    With ``start``, lines are joined to records, each from a line that starts with it to the next such line; a record is
+    all that is held at a time.
+    """
     files = spark.read.format("binaryFile").load(path).select("path")
 
+    def units(text):
+        if start is None:
+            for line in text:
+                yield line.rstrip("\r\n")
+            return
+        held: list[str] = []
+        for line in text:
+            if line.startswith(start) and held:
+                yield "\n".join(held)
+                held = []
+            held.append(line.rstrip("\r\n"))
+        if held:
+            yield "\n".join(held)
+
     def lines(batches):
         import io
 
@@ -54,16 +84,16 @@ def _decoded_lines(spark: SparkSession, path: str, member: str | None) -> DataFr
 
         for pdf in batches:
             for p in pdf["path"]:
-                local = p.removeprefix("file:")
-                raw = zipfile.ZipFile(local).open(member) if member else lzma.open(local)
-                rows: list[str] = []
-                with raw, io.TextIOWrapper(raw, "utf-8", newline="") as text:
-                    for line in text:
-                        rows.append(line.rstrip("\r\n"))
-                        if len(rows) == 50_000:
-                            yield pd.DataFrame({"value": rows})
-                            rows = []
-                yield pd.DataFrame({"value": rows})
+                with open_stream(p) as stream:
+                    raw = zipfile.ZipFile(stream).open(member) if member else lzma.open(stream)
+                    rows: list[str] = []
+                    with raw, io.TextIOWrapper(raw, "utf-8", newline="") as text:
+                        for unit in units(text):
+                            rows.append(unit)
+                            if len(rows) == 20_000:
+                                yield pd.DataFrame({"value": rows})
+                                rows = []
+                    yield pd.DataFrame({"value": rows})
 
     return files.mapInPandas(lines, "value string")
 
