@@ -4,13 +4,13 @@ import os
 
 import pytest
 
-from pairloom.plans import corpus_queries, pair_queries
+from pairloom.plans import corpus_queries, pair_queries, survey_queries
 
 from .compare import compare, duck
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
-QUERIES = corpus_queries.queries() | pair_queries.queries()
-SQL = corpus_queries.oracle_sql() | pair_queries.oracle_sql()
+QUERIES = corpus_queries.queries() | pair_queries.queries() | survey_queries.queries()
+SQL = corpus_queries.oracle_sql() | pair_queries.oracle_sql() | survey_queries.oracle_sql()
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 
