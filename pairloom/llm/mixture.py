@@ -13,8 +13,9 @@ from ..session import materialize
 
 #: Leaves of the tree (and targets) are collected; more than this many are refused.
 MAX_LEAVES = 100_000
-#: Slices of the epoch order of a leaf; only one slice of a leaf is ever ordered row by row.
-SLICES = 4096
+#: Texts that one slice of the epoch order holds about; a slice of a leaf is what one task orders. The order is that of
+#: the hash whatever the number of slices.
+SLICE_ROWS = 50_000
 
 
 def budget(leaves: dict[tuple, tuple[float, float]], total: float) -> dict[tuple, float]:
@@ -79,6 +80,7 @@ class Mixture:
         self.total = sum(by_source.values()) if total is None else total
         leaves = {p: (shares[p[0]][0] * t / by_source[p[0]], float(t * shares[p[0]][1])) for p, t in self.tokens.items()}
         self.budgets = budget(leaves, self.total)
+        self.slice_bits = max(6, min(30, (total_rows // SLICE_ROWS).bit_length()))
         self._selection: DataFrame | None = None
 
     def selection(self) -> DataFrame:
@@ -98,7 +100,7 @@ class Mixture:
         leaf = F.broadcast(spark.createDataFrame(plan, schema))
         order = F.xxhash64(F.lit(self.seed), "whole", "doc_id")
         rows = self.texts.join(leaf, self.levels).withColumn("__order", order)
-        rows = rows.withColumn("__slice", F.pmod(F.shiftrightunsigned("__order", 40), F.lit(SLICES)).cast("int"))
+        rows = rows.withColumn("__slice", F.shiftright("__order", 64 - self.slice_bits).cast("int"))
         rows = materialize(rows, "mix-order")
         slices = rows.groupBy(*self.levels, "__slice").agg(F.sum("n_tokens").alias("t"))
         upto = F.sum("t").over(W.partitionBy(*self.levels).orderBy("__slice").rowsBetween(W.unboundedPreceding, W.currentRow))

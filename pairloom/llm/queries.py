@@ -279,6 +279,71 @@ def p10_coherence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores.select(F.col("doc").alias("doc_id"), "n_pairs", *rounded)
 
 
+# --- checks that SQL can say: what a draw must hold whichever rows it takes ------------------------------------------------
+
+
+def p3_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sample: its rows, distinct ones, rows outside pairs, and categories below their floor that had more rows."""
+    drawn = materialize(p3_sample(spark, sf_dir), "sample")
+    pairs = load(spark, sf_dir, "pairs")
+    strangers = drawn.join(pairs.select("source_row_index"), "source_row_index", "left_anti").agg(F.count(F.lit(1)).alias("n_strangers"))
+    floor = load(spark, sf_dir, "sampling_specs").filter("spec_name = 'proportional'").first()["minimum_per_stratum"]
+    low = p3_report(spark, sf_dir).filter(F.col("drawn") < F.least(F.lit(floor), "available")).agg(F.count(F.lit(1)).alias("n_below_floor"))
+    return drawn.agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct("source_row_index").alias("n_distinct")).join(strangers).join(low)
+
+
+def p3_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report without its fractional targets, but whether the drawn rows are within one of them."""
+    near = (F.abs(F.col("drawn") - F.col("target")) < 1).alias("is_near")
+    return p3_report(spark, sf_dir).select(*_CATEGORY, "target_per_mille", "wanted", "available", "gap", near)
+
+
+def p3_margin_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per value of either margin: rows there, share wanted, and whether the drawn rows are near it (or all there are)."""
+    near = (F.abs(F.col("drawn") - F.col("target")) <= 25).alias("is_near")
+    return p3_margins(spark, sf_dir).select("margin", "value", "target_per_mille", "available", near)
+
+
+def p5_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows placed, groups, groups in more than one split, and splits more than half a per cent of all rows off their share."""
+    placed = materialize(p5_splits(spark, sf_dir), "placed")
+    per = placed.filter("first_protein_id is not null").groupBy("first_protein_id").agg(F.count_distinct("split").alias("n"))
+    groups = per.agg(F.count(F.lit(1)).alias("n_groups"), F.count_if(F.col("n") > 1).alias("n_torn"))
+    shares = _shares(spark, sf_dir)
+    total = placed.count()
+    sizes = {r[0]: r[1] for r in placed.groupBy("split").count().collect()}
+    off = sum(abs(sizes.get(s, 0) - w * total) > 0.005 * total for s, w in shares.items())
+    return placed.agg(F.count(F.lit(1)).alias("n_rows")).join(groups).withColumn("n_off", F.lit(off))
+
+
+def p7_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per spec: units of which the sample holds some rows but not all, and whether its share of units is near the fraction."""
+    timed = load(spark, sf_dir, "pairs").filter("pair_id is not null")
+    units = timed.groupBy("pair_id").agg(F.count(F.lit(1)).alias("n"), F.count("ingested_at").alias("t"))
+    n_units = units.filter("t > 0").count()
+    taken = p7_sample(spark, sf_dir).groupBy("spec_name", "pair_id").agg(F.count(F.lit(1)).alias("m")).join(units, "pair_id")
+    per = taken.groupBy("spec_name").agg(F.count_if(F.col("m") != F.col("n")).alias("n_partial"), F.count(F.lit(1)).alias("k"))
+    specs = load(spark, sf_dir, "sampling_specs").select("spec_name", "fraction")
+    return per.join(F.broadcast(specs), "spec_name").select("spec_name", "n_partial", (F.abs(F.col("k") / F.lit(max(n_units, 1)) - F.col("fraction")) < 0.02).alias("is_near"))
+
+
+def p8_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p8_roundtrip(spark, sf_dir).select("lang", "n_documents", "n_same")
+
+
+def p9_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per target: texts used too often, used texts of the source there, and whether a source below its share used up
+    what it may repeat."""
+    mix = materialize(p9_mix(spark, sf_dir), "mix")
+    documents = load(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("own"))
+    rows = mix.join(documents, "doc_id").groupBy("source").agg(F.max("copies").alias("most"), F.count_if(~F.col("own").eqNullSafe(F.col("source"))).alias("n_foreign"))
+    report = p9_report(spark, sf_dir)
+    short = (F.col("missing_tokens") > 0.01 * F.greatest(F.col("used_tokens"), F.lit(1000))) & (F.col("used_tokens") < F.col("available_tokens") * F.col("max_repeats") * 0.98)
+    joined = report.join(rows, "source", "left")
+    over = (F.coalesce("most", F.lit(0)) > F.col("max_repeats")).cast("int")
+    return joined.select("source", "target_share", "max_repeats", over.alias("n_over"), F.coalesce("n_foreign", F.lit(0)).alias("n_foreign"), short.alias("fell_short_needlessly"))
+
+
 _ALNUM = r"upper(regexp_replace({}, '[^\p{{L}}\p{{Nd}}]+', '', 'g'))"
 _P2 = rf"""
 with named as (select source_row_index as id, source, {acc_sql("protein_a")} as a, {acc_sql("protein_b")} as b from pairs),
@@ -313,6 +378,24 @@ select coalesce(root, coalesce(a, b)) as first_protein_id
 from r join assigned using (id) left join cc on cc.node = coalesce(a, b)
 where coalesce(a, b) is not null group by 1 having count(distinct split) >= 2
 """
+_P3 = """
+with spec as (select * from sampling_specs where spec_name = 'proportional'),
+p as (select system_type, label, count(*) as n from pairs group by all),
+c as (select t.*, coalesce(n, 0) as available, greatest(floor(max_examples * target_per_mille / 1000.0), minimum_per_stratum)::bigint as wanted
+  from sampling_targets t cross join spec left join p on p.system_type = t.system_type and p.label = t.label)
+"""
+_GROUPS = _P5[: _P5.index("select coalesce(root")]
+_COHERENCE = r"""
+with w as (select doc_id, regexp_extract_all(lower(coalesce(text, '')), '(?:https?|hxxps?)://\S+|#?\p{L}[\p{L}\p{M}\p{Nd}''_-]*|\p{Nd}[\p{Nd}.,]*') as w from documents),
+k as (select doc_id, list_transform(w, lambda x: case when contains(x, '://') then '://' when x[1] between '0' and '9' then '0'
+    when length(x) = 8 and length(translate(x, '0123456789', '')) = 3 then '0a' else x end) as w from w where len(w) >= 2),
+p as (select doc_id, a, b, count(*) as n from (select doc_id, unnest(w[1 : len(w) - 1]) as a, unnest(w[2 : len(w)]) as b from k) group by all),
+c as (select a, b, sum(n) as n_pair from p group by all), t as (select sum(n) as total from p),
+l as (select a, sum(n) as n_a from p group by 1), r as (select b, sum(n) as n_b from p group by 1),
+s as (select a, b, ln(n_pair * total::double / (n_a::double * n_b)) as pmi from c join l using (a) join r using (b), t)
+select doc_id, sum(n)::bigint as n_pairs, round(sum(n * pmi) / sum(n), 6) as mean_pmi, round(sum(case when pmi < 2 then n else 0 end) / sum(n), 6) as loose,
+  round(sum(case when n >= 3 and pmi > 0 then n else 0 end) / sum(n), 6) as repeated from p join s using (a, b) group by 1
+"""
 _P6 = f"""
 with c as (select source_row_index, label, {_ALNUM.format("protein_a")} as a, {_ALNUM.format("protein_b")} as b,
     {acc_sql("protein_a")} is not null and {acc_sql("protein_b")} is not null as named from pairs),
@@ -327,7 +410,8 @@ def queries() -> dict:
         "p2_found": p2_found, "p2_report": p2_report, "p2_texts": p2_texts, "p3_found": p3_found, "p3_sample": p3_sample, "p3_report": p3_report, "p3_margins": p3_margins,
         "p5_found": p5_found, "p5_splits": p5_splits, "p5_report": p5_report, "p6_found": p6_found, "p6_records": p6_records,
         "p7_sample": p7_sample, "p8_ids": p8_ids, "p8_roundtrip": p8_roundtrip, "p9_mix": p9_mix, "p9_report": p9_report,
-        "p10_found": p10_found, "p10_coherence": p10_coherence,
+        "p10_found": p10_found, "p10_coherence": p10_coherence, "p3_check": p3_check, "p3_gaps": p3_gaps, "p3_margin_check": p3_margin_check,
+        "p5_check": p5_check, "p7_check": p7_check, "p8_check": p8_check, "p9_check": p9_check,
     }
 
 
@@ -336,6 +420,19 @@ def oracle_sql() -> dict[str, str]:
         "p2_found": _P2 + "select least(train_id, eval_id) as low_row_index, greatest(train_id, eval_id) as high_row_index from o",
         "p2_report": _P2 + "select split, source, count(distinct eval_id) as n_rows, count(*) as n_pairs from o group by 1, 2",
         "p2_texts": _P2_TEXTS,
+        "p3_check": _P3 + """select least(max_examples, (select count(*) from pairs)) as n_rows, least(max_examples, (select count(*) from pairs)) as n_distinct,
+            0 as n_strangers, 0 as n_below_floor from spec""",
+        "p3_gaps": _P3 + "select system_type, label, target_per_mille, wanted, available, greatest(wanted - available, 0) as gap, true as is_near from c",
+        "p3_margin_check": _P3 + """, x as (select * from (select distinct system_type from sampling_targets) cross join (select distinct label from sampling_targets)),
+            y as (select x.*, coalesce(n, 0) as n from x left join p on p.system_type = x.system_type and p.label = x.label)
+            select 'system_type' as margin, system_type as value, (select sum(target_per_mille) from sampling_targets t where t.system_type = y.system_type) as target_per_mille, sum(n) as available, true as is_near from y group by system_type
+            union all select 'label', label::varchar, (select sum(target_per_mille) from sampling_targets t where t.label = y.label), sum(n), true from y group by label""",
+        "p5_check": _GROUPS + """select (select count(*) from pairs) as n_rows, count(distinct coalesce(root, coalesce(a, b))) as n_groups, 0 as n_torn, 0 as n_off
+            from r left join cc on cc.node = coalesce(a, b) where coalesce(a, b) is not null""",
+        "p7_check": "select spec_name, 0 as n_partial, true as is_near from sampling_specs where spec_name in ('growing', 'growing_b')",
+        "p8_check": "select lang, count(*) as n_documents, count(*) as n_same from documents group by 1",
+        "p9_check": "select source, target_share, max_repeats, 0 as n_over, 0 as n_foreign, false as fell_short_needlessly from mix_targets",
+        "p10_coherence": _COHERENCE,
         "p3_found": """
             select t.system_type, t.label from sampling_targets t
             left join (select system_type, label, count(*) as n from pairs group by 1, 2) p on p.system_type = t.system_type and p.label = t.label

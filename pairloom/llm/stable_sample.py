@@ -46,16 +46,17 @@ def stable_sample(
     """``rows`` with ``spec_name``, once for each (name, fraction, seed) of ``specs`` that takes their ``unit``.
 
     The persistent sequence number of a unit is the ``identifier`` (a non-negative bigint) of its first row by
-    ``arrived`` and identifier; rows that arrive later never change it. A null ``arrived`` counts as the earliest, a
-    null identifier as 0, and rows without a unit have no number and are in no sample. Other columns come along, except
-    one that is itself called ``spec_name``.
+    ``arrived`` and identifier; rows that arrive later never change it. Rows without a time of arrival number nothing,
+    as one added later could otherwise be taken for the first: they follow their unit, and a unit that has no other rows
+    is in no sample, nor are rows without a unit. A null identifier counts as 0. Other columns come along, except one that
+    is itself called ``spec_name``.
     """
     rows = rows.filter(F.col(unit).isNotNull()).drop("spec_name")
-    micros = F.coalesce(F.unix_micros(F.col(arrived).cast("timestamp")), F.lit(-(10**17)))
+    micros = F.unix_micros(F.col(arrived).cast("timestamp"))  # null leaves no number
     first = micros.cast("decimal(19,0)") * F.lit(_TEN_19).cast("decimal(20,0)") + F.coalesce(F.col(identifier), F.lit(0)).cast("decimal(19,0)")
     hot = hot_keys(rows, key_hash(unit), total, share, floor)
     keyed = with_group_min(rows.withColumn("__first", first.cast("decimal(38,0)")), [unit], "__first", "__least", hot)
     sequence = F.pmod(F.col("__least"), F.lit(_TEN_19).cast("decimal(38,0)")).cast("bigint")
-    keyed = keyed.withColumn("__sequence", sequence)
+    keyed = keyed.withColumn("__sequence", sequence).filter("__sequence is not null")
     takes = F.array(*(F.when(chosen(F.col("__sequence"), fraction, seed), F.lit(name)) for name, fraction, seed in specs))
     return keyed.select(*rows.columns, F.explode(F.array_compact(takes)).alias("spec_name"))
