@@ -103,21 +103,49 @@ def allocate(weights: dict, capacities: dict, target: int) -> dict:
     return given
 
 
+def allocate_rows(strata: DataFrame, target: int) -> DataFrame:
+    """:func:`allocate` for a table of any length: ``strata`` (stratum, weight, capacity, ...) with ``given``.
+
+    Each round is one aggregation and one projection; only sums reach the driver, and the largest quotas of the last
+    round are ranked in range partitions.
+    """
+    table = strata.withColumn("given", F.lit(0).cast("bigint"))
+    while True:
+        table = materialize(table, "allocation")
+        room = F.col("capacity") > F.col("given")
+        done, total = table.agg(F.sum("given"), F.sum(F.when(room, F.col("weight")))).first()
+        left = target - (done or 0)
+        if left <= 0:
+            return table
+        if not total:
+            raise ValueError(f"{target} samples do not fit the strata")
+        quota = F.when(room, F.lit(left) * F.col("weight") / F.lit(total)).otherwise(0.0)
+        table = table.withColumn("__quota", quota).withColumn("__step", F.least(F.col("capacity") - F.col("given"), F.floor("__quota")))
+        if not table.filter("__step > 0").limit(1).count():
+            ranked = dense_index(table.filter(room), [F.desc("__quota"), "stratum"], "__rank").filter(F.col("__rank") < left).select("stratum", F.lit(1).cast("bigint").alias("__one"))
+            table = table.join(ranked, "stratum", "left").withColumn("__step", F.coalesce("__one", F.lit(0))).drop("__one")
+        table = table.withColumn("given", F.col("given") + F.col("__step")).drop("__quota", "__step")
+
+
+#: Up to this many strata are allocated on the driver, more by :func:`allocate_rows`, with the same result.
+DRIVER_STRATA = 100_000
+
+
 # --- negatives -------------------------------------------------------------------------------------------------------------
 
 
-def _draws(spark, strata: list[tuple], seed: int) -> DataFrame:
-    """(stratum, number) candidates: for each (stratum, size, wanted, observed) the numbers themselves where the space is
+def _draws(strata: DataFrame, seed: int, factor: int = 2) -> DataFrame:
+    """(stratum, number) candidates for ``strata`` (stratum, size, want, taken): the numbers themselves where the space is
     small next to what is wanted, else enough hashed numbers. Never the whole square."""
-    plan = [(s, int(size), int(want), int(taken), int(min(size, 2 * (want + taken) + 64))) for s, size, want, taken in strata if want > 0]
-    table = spark.createDataFrame(plan, "stratum string, size bigint, want bigint, taken bigint, tries bigint")
+    tries = F.least("size", factor * (F.col("want") + F.col("taken")) + 64)
+    table = strata.filter("want > 0").select("stratum", "size", tries.cast("bigint").alias("tries"))
     # the tries of one stratum are cut into runs of 100 000, so that a large one is drawn by many tasks
     runs = table.select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("tries") - 1, F.lit(100_000).cast("bigint"))).alias("start"))
     runs = runs.repartition(F.xxhash64("stratum", "start"))
     numbers = runs.select("*", F.explode(F.sequence(F.col("start"), F.least(F.col("start") + 99_999, F.col("tries") - 1))).alias("t"))
     dense = F.col("tries") == F.col("size")
     hashed = F.pmod(F.xxhash64(F.lit(seed), "stratum", "t"), F.col("size"))
-    return numbers.select("stratum", "size", F.when(dense, F.col("t")).otherwise(hashed).alias("number")).distinct()
+    return numbers.select("stratum", F.when(dense, F.col("t")).otherwise(hashed).alias("number")).distinct()
 
 
 def sample_negatives(positives: DataFrame, spec: NegativeSpec, taxa: DataFrame | None = None) -> DataFrame:
@@ -142,33 +170,45 @@ def sample_negatives(positives: DataFrame, spec: NegativeSpec, taxa: DataFrame |
     ranked = dense_index(nodes, ["taxon_id", "protein_id"], "n")
     starts = ranked.groupBy("taxon_id").agg(F.min("n").alias("start"), F.count(F.lit(1)).alias("members"))
     ranked = ranked.join(starts, "taxon_id").select("protein_id", "taxon_id", (F.col("n") - F.col("start")).alias("position"))
-    members = {r[0]: r[1] for r in starts.select("taxon_id", "members").collect()}
     lo, hi = unordered("taxon_id_a", "taxon_id_b")
     typed = project_endpoints(seen.select(F.col("lo").alias("protein_a"), F.col("hi").alias("protein_b")), ranked, "protein_id", ["taxon_id"])
-    observed = {(r[0], r[1]): r[2] for r in typed.groupBy(lo.alias("l"), hi.alias("h")).agg(F.count(F.lit(1)).alias("n")).collect()}
-    size = {k: pair_count(members[k[0]]) if k[0] == k[1] else members[k[0]] * members[k[1]] for k in observed}
-    n_positive = sum(observed.values())
+    # one row per observed pair of taxa: a table, as there may be as many as taxa squared
+    side = lambda x: starts.select(F.col("taxon_id").alias(x), F.col("members").alias(f"n{x}"))
+    strata = typed.groupBy(lo.alias("l"), hi.alias("h")).agg(F.count(F.lit(1)).alias("taken")).join(side("l"), "l").join(side("h"), "h")
+    wide = F.col("nl").cast("decimal(19,0)")
+    half = F.call_function("div", wide * (wide - 1), F.lit(2).cast("decimal(2,0)")).cast("bigint")
+    strata = strata.withColumn("size", F.when(F.col("l") == F.col("h"), half).otherwise(F.col("nl") * F.col("nh")))
+    strata = materialize(strata.withColumn("stratum", F.concat_ws("|", "l", "h")), "strata")
+    n_strata, n_positive = strata.agg(F.count(F.lit(1)), F.coalesce(F.sum("taken"), F.lit(0))).first()
     wanted = negative_count(n_positive, spec.ratio)
-    capacity = {k: size[k] - observed[k] for k in observed}
-    given = allocate(observed, capacity, wanted)
-    name = {k: f"{k[0]}|{k[1]}" for k in observed}
-    drawn = _draws(spark, [(name[k], size[k], given[k], observed[k]) for k in observed], spec.seed)
-    strata = spark.createDataFrame([(name[k], k[0], k[1], members[k[0]], members[k[1]], given[k]) for k in observed], "stratum string, l string, h string, nl bigint, nh bigint, want bigint")
-    rows = drawn.join(F.broadcast(strata) if len(observed) <= 100_000 else strata, "stratum")
-    same = F.col("l") == F.col("h")
-    ri, rj = rectangle_from_number(F.col("number"), F.col("nh"))
-    within = with_pair(rows.filter(same), "number", "nl").select("stratum", "l", "h", "want", "i", "j")
-    between = rows.filter(~same).select("stratum", "l", "h", "want", ri.alias("i"), rj.alias("j"))
-    placed = materialize(within.unionByName(between), "drawn-pairs")  # or every join would repeat the arithmetic in a filter
+    sized = strata.withColumn("weight", F.col("taken")).withColumn("capacity", F.col("size") - F.col("taken"))
+    if n_strata <= DRIVER_STRATA:
+        listed = sized.select("l", "h", "stratum", "weight", "capacity").collect()
+        given = allocate({(r["l"], r["h"]): r["weight"] for r in listed}, {(r["l"], r["h"]): r["capacity"] for r in listed}, wanted)
+        table = spark.createDataFrame([(f"{k[0]}|{k[1]}", n) for k, n in given.items()], "stratum string, want bigint")
+        strata = strata.join(F.broadcast(table), "stratum")
+    else:
+        strata = allocate_rows(sized, wanted).withColumnRenamed("given", "want").select(*strata.columns, "want")
+    strata = materialize(strata, "wanted-strata")
     first = ranked.select(F.col("taxon_id").alias("l"), F.col("position").alias("i"), F.col("protein_id").alias("p"))
     second = ranked.select(F.col("taxon_id").alias("h"), F.col("position").alias("j"), F.col("protein_id").alias("q"))
-    named = placed.join(first, ["l", "i"]).join(second, ["h", "j"])
-    ordered = named.select("stratum", "want", F.least("p", "q").alias("lo"), F.greatest("p", "q").alias("hi")).join(seen, ["lo", "hi"], "left_anti")
-    # the rank within a stratum comes from one global order, so a large stratum is no single task
-    numbered = dense_index(ordered, ["stratum", hash_order(spec.seed, "lo", "hi"), "lo", "hi"], "n")
-    begins = numbered.groupBy("stratum").agg(F.min("n").alias("begin"))
-    chosen = numbered.join(begins, "stratum").filter("n - begin < want")
-    return chosen.select(F.col("lo").alias("protein_a"), F.col("hi").alias("protein_b"), F.lit(0).alias("label"))
+    factor = 2
+    while True:
+        rows = _draws(strata, spec.seed, factor).join(F.broadcast(strata) if n_strata <= DRIVER_STRATA else strata, "stratum")
+        same = F.col("l") == F.col("h")
+        ri, rj = rectangle_from_number(F.col("number"), F.col("nh"))
+        within = with_pair(rows.filter(same), "number", "nl").select("stratum", "l", "h", "want", "i", "j")
+        between = rows.filter(~same).select("stratum", "l", "h", "want", ri.alias("i"), rj.alias("j"))
+        placed = materialize(within.unionByName(between), "drawn-pairs")  # or every join would repeat the arithmetic in a filter
+        named = placed.join(first, ["l", "i"]).join(second, ["h", "j"])
+        ordered = named.select("stratum", "want", F.least("p", "q").alias("lo"), F.greatest("p", "q").alias("hi")).join(seen, ["lo", "hi"], "left_anti")
+        # the rank within a stratum comes from one global order, so a large stratum is no single task
+        numbered = dense_index(ordered, ["stratum", hash_order(spec.seed, "lo", "hi"), "lo", "hi"], "n")
+        begins = numbered.groupBy("stratum").agg(F.min("n").alias("begin"))
+        chosen = materialize(numbered.join(begins, "stratum").filter("n - begin < want"), "negatives")
+        if chosen.count() >= wanted:
+            return chosen.select(F.col("lo").alias("protein_a"), F.col("hi").alias("protein_b"), F.lit(0).alias("label"))
+        factor *= 4  # hashed numbers met each other or observed pairs too often; more of them hold the same ones and others
 
 
 def negative_record(spec: NegativeSpec | None, n_positive: int, n_negative: int) -> dict:

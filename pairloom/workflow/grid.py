@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 from ..models.estimators import spec
 from ..operators import summaries
 from ..operators.features import feature_name
-from ..operators.pairs import ConstraintError
+from ..operators.pairs import ConstraintError, require_empty
+from ..session import materialize
 from ..sinks.writers import create_or_equal, write_json, write_single_csv
 from ..sources.runs import manifest_row, read_degree_metrics, read_run_summaries, run_directories
 from .train import TrainOptions, train
@@ -153,7 +154,8 @@ def run_grid(spark: SparkSession, config: GridConfig) -> Path:
 
 
 def aggregate(spark: SparkSession, folder: str, execution_prefix: str | None = None) -> dict[str, DataFrame]:
-    """Manifest, metric summary, degree summary and train-validation table of all runs below ``folder``, also as files."""
+    """Manifest, metric summary, degree summary, train-validation table, control selection and lift of all runs below
+    ``folder``, also as files."""
     runs = run_directories(folder)
     if not runs:
         raise ConstraintError(f"no runs below {folder}")
@@ -173,13 +175,30 @@ def aggregate(spark: SparkSession, folder: str, execution_prefix: str | None = N
         values = ["auprc", "auroc", "prevalence"]
         numeric = degree.select(*[c for c in degree.columns if c not in values], *(F.col(v).try_cast("double").alias(v) for v in values))
         seeds = {r: row.get("split_seed") for r, row in zip(runs, manifest, strict=True)}
-        tagged = numeric.join(F.broadcast(spark.createDataFrame(list(seeds.items()), "run_dir string, split_seed string")), "run_dir")
+        tagged = numeric.drop("split_seed").join(F.broadcast(spark.createDataFrame(list(seeds.items()), "run_dir string, split_seed string")), "run_dir")
         out["degree_summary"] = summaries.summarize_over_seeds(summaries.deduplicate_attachment(tagged), ["split", "model_name", "axis", "stratum"], values)
+        if all(g in degree.columns for g in summaries.GATES):
+            out |= _lift(numeric.withColumn("split_seed", F.col("split_seed").cast("int")), folder)
     for name, df in out.items():
         write_single_csv(df, Path(folder) / f"{name}.csv")
     return out
 
 
+def _lift(rows: DataFrame, folder: str) -> dict[str, DataFrame]:
+    """The control selected per context, fixed by a file, and the lift of each model over it.
+
+    A model whose reference lies behind other gates is an error; one whose runs have no control or attachment score at
+    all has no lift.
+    """
+    rows = materialize(rows, "gated")
+    selection = materialize(summaries.select_control(rows), "selection")
+    lock_control(selection, f"{folder}/selected_controls.json")
+    refused = summaries.lift_refusals(rows, selection)
+    require_empty(refused.filter("refusal like '%other gates'"), "refused lift")
+    lift = materialize(summaries.degree_lift(rows, selection, strict=False), "lift")
+    return {"control_selection": selection, "degree_lift": lift, "lift_table": summaries.lift_table(lift)}
+
+
 def lock_control(selection: DataFrame, path: str) -> dict:
     """Write the selected control of each context once; a later, different selection is refused."""
     return create_or_equal({r[0]: r[1] for r in selection.select("control_selection_context_sha256", "selected_control").collect()}, path)

@@ -15,7 +15,7 @@ from ..operators import pairs as pr
 from ..session import materialize
 from ..sinks.writers import append_jsonl, output_plan, write_single_csv, write_split
 from ..sources.fasta import read_fasta
-from ..sources.sidecars import discover, read_clusters, read_taxa
+from ..sources.sidecars import discover, read_clusters, read_manifest, read_taxa
 from ..sources.tables import read_table
 from .identity import claim, fingerprint, run_identity
 from .performance import Tracker
@@ -106,14 +106,45 @@ def feature_rows(rows: DataFrame, sequences: DataFrame, o: TrainOptions) -> Data
     return sparse_vectors(long, train, "source_row_index", rows=rows)
 
 
-def degree_report(rows: DataFrame, profile: DataFrame, strategy: str, evaluated: list[str]) -> DataFrame:
-    """Threshold-free attachment metrics per split and stratum."""
-    annotated = degree.annotate(rows.filter(F.col("split").isin(evaluated)), profile)
-    pr.require_empty(degree.novelty_violations(annotated, strategy).select("protein_a", "protein_b"), f"{strategy} broken")
-    scored = annotated.withColumnsRenamed({"label": "target", "pa_score": "score"})
+def gate_digests(o: TrainOptions, kept: DataFrame, meta: dict, splits_of: list[str], negatives: dict | None) -> dict[str, dict]:
+    """Per evaluated split the identity columns behind which results may be compared (see ``summaries.GATES``).
+
+    The context in which controls are selected knows neither strategy nor seed, as the selection runs over both.
+    """
+    training = kept.filter("split = 'train'")
+    identity = ["source_row_index", "protein_a", "protein_b", "label"]
+    edges = table_sha256(degree.positive_edges(training), ["lo", "hi"])
+    grouping = file_sha256(o.sequence_clusters) if o.sequence_clusters else None
+    negative = json_sha256(negatives) if negatives else None
+    cohort = {k: getattr(o, k) for k in ("max_pairs", "sample_fraction", "sampling_seed")}
+    common = {
+        "task": "pairs", "split_strategy": meta["split_strategy"], "protocol_id": meta["protocol_id"], "protocol_version": meta["protocol_id"].rsplit(".v", 1)[-1],
+        "split_seed": o.split_seed, "dataset_sha256": meta["dataset_sha256"], "training_positive_edges_sha256": edges,
+        "training_examples_sha256": table_sha256(training, identity), "split_assignments_sha256": meta["split_assignments_sha256"],
+        "negative_construction_sha256": negative, "grouping_sha256": grouping,
+        "protocol_instance_sha256": json_sha256({"protocol": meta["protocol_id"], "train": o.train_size, "val": o.val_size, "trials": o.n_split_trials, "cohort": cohort}),
+        "degree_provenance_sha256": json_sha256({"edges": edges, "quantiles": list(o.degree_bin_quantiles)}),
+        "control_selection_context_sha256": json_sha256({"task": "pairs", "dataset": meta["dataset_sha256"], "negative": negative, "grouping": grouping, "cohort": cohort}),
+    }
+    return {s: common | {"evaluation_cohort_sha256": table_sha256(kept.filter(F.col("split") == s), identity)} for s in splits_of}
+
+
+def degree_report(scored: DataFrame, strategy: str, name: str, role: str, number: int | None, seed: int | None) -> DataFrame:
+    """Threshold-free metrics of ``scored`` (annotated rows with ``score`` and ``target``) per split and stratum; models
+    that are no control are reported as a whole only."""
     long = degree.stratified(scored, strategy, ["split", "target", "score"])
-    out = metrics.ranking_metrics(long, "split", "axis", "stratum")
-    return out.withColumn("model_name", F.lit(summaries.ATTACHMENT)).withColumn("run_number", F.lit(0)).withColumn("model_seed", F.lit(None).cast("int"))
+    if role == "predictive_model":
+        long = long.filter("axis = 'global'")
+    out = metrics.ranking_metrics(long, "split", "axis", "stratum").withColumn("stratification_axis", F.col("axis"))
+    return out.select(
+        "*", F.lit(name).alias("model_name"), F.lit(role).alias("model_role"), F.lit(number).cast("int").alias("run_number"), F.lit(seed).cast("int").alias("model_seed")
+    )
+
+
+def check_attachment(scored: DataFrame, strategy: str) -> None:
+    """Where no endpoint is known from training, attachment says nothing: its scores must be constant."""
+    if strategy == degree.C3:
+        pr.require_empty(metrics.degree_invariants(scored.select("split", "target", "score"), "split").filter("not holds"), "attachment scores vary in C3")
 
 
 def train(spark: SparkSession, o: TrainOptions) -> dict:
@@ -134,7 +165,8 @@ def train(spark: SparkSession, o: TrainOptions) -> dict:
         if o.max_pairs is not None or o.sample_fraction is not None:
             least = 3 if o.val_size > 0 else 2
             cohort = sampling.CohortSpec(o.max_pairs, o.sample_fraction, o.sampling_seed, least)
-            chosen = sampling.select_cohort(eligible, "source_row_index", cohort, ["label"])
+            strata = ["label"] if o.split_col is None else ["label", o.split_col]
+            chosen = sampling.select_cohort(eligible, "source_row_index", cohort, strata)
             write_single_csv(chosen.select("source_row_index", "sampling_rank", "pair_id", "label"), plan["cohort"], ["sampling_rank"])
             eligible = chosen.drop("sampling_rank")
     with track.stage("split"):
@@ -160,9 +192,13 @@ def train(spark: SparkSession, o: TrainOptions) -> dict:
         profile = materialize(degree.degree_profile(training, o.degree_bin_quantiles), "profile")
         write_single_csv(profile, plan["degree_profile"], ["protein_id"])
         held = [s for s in evaluated if s != "train"]
-        report = degree_report(kept, profile, o.split_strategy, held)
-        for s in held:
-            write_single_csv(report.filter(F.col("split") == s), plan[f"{s}_degree_metrics"], ["axis", "stratum"])
+        annotated = materialize(degree.annotate(kept.filter(F.col("split").isin(held)), profile), "annotated")
+        pr.require_empty(degree.novelty_violations(annotated, o.split_strategy).select("protein_a", "protein_b"), f"{o.split_strategy} broken")
+        attached = annotated.withColumnsRenamed({"label": "target", "pa_score": "score"})
+        check_attachment(attached, o.split_strategy)
+        reports = degree_report(attached, o.split_strategy, summaries.ATTACHMENT, "attachment", 0, None)
+        manifest = read_manifest(o.pairs) or {}
+        gates = gate_digests(o, kept, meta, held, manifest.get("negatives"))
     matrices: dict[str, DataFrame] = {"none": kept}
     wanted = {spec(m).matrix for m in o.classifier}
     with track.stage("features"):
@@ -184,6 +220,10 @@ def train(spark: SparkSession, o: TrainOptions) -> dict:
                 part = part.withColumn("run_number", F.lit(number)).withColumn("split_strategy", F.lit(o.split_strategy)).withColumn("split_seed", F.lit(o.split_seed))
                 part = part.withColumn("features", F.lit(features.feature_name(o.features) if spec(name).matrix == "configured" else spec(name).matrix))
                 results = part if results is None else results.unionByName(part)
+                if held:
+                    scores = frame.select(F.col("example_id").cast("bigint").alias("source_row_index"), "target", "score")
+                    role = {"training_degree": "fitted_control", "configured": "predictive_model"}.get(spec(name).matrix, "constant")
+                    reports = reports.unionByName(degree_report(annotated.join(scores, "source_row_index"), o.split_strategy, name, role, number, seed))
                 if "test" in evaluated:
                     test = frame.filter("split = 'test'").withColumn("model_name", F.lit(name)).withColumn("run_number", F.lit(number))
                     predictions = test if predictions is None else predictions.unionByName(test)
@@ -191,6 +231,10 @@ def train(spark: SparkSession, o: TrainOptions) -> dict:
         if predictions is not None:
             predictions.write.mode("overwrite").parquet(str(plan["predictions"]))
     with track.stage("summaries"):
+        reports = materialize(reports, "degree-reports")
+        for s in held:
+            rows = reports.filter(F.col("split") == s).select("*", *(F.lit(v).cast("string").alias(k) for k, v in gates[s].items()))
+            write_single_csv(rows, plan[f"{s}_degree_metrics"], ["model_name", "run_number", "axis", "stratum"])
         keys = ["model_name", "features", "split_strategy", "split_seed", "split"]
         values = ["accuracy", "precision", "recall", "f1", "auprc", "auroc"]
         for s in evaluated:

@@ -153,11 +153,20 @@ def test_one_class_metrics(spark):
     assert m["accuracy"] == 1 and m["precision"] is None and m["recall"] == 0 and m["f1"] == 0 and m["auprc"] is None and m["auroc"] is None
 
 
-@pytest.mark.parametrize(("labels", "scores", "default", "want"), [([0, 0, 1, 1], [0.1, 0.4, 0.35, 0.45], 0.5, (0.35, 0.8)), ([0, 1, 1], [-1.0, 0.0, 1.0], 0.0, (0.0, 1.0))])
-def test_threshold(spark, labels, scores, default, want):
-    df = spark.createDataFrame(list(zip(labels, scores)), "target int, score double")
-    r = metrics.select_threshold(df, default).first()
-    assert (r["threshold"], r["f1"]) == pytest.approx(want)
+@pytest.mark.parametrize("seed", range(4))
+def test_threshold_is_the_best_of_all(spark, seed):
+    """Against all candidates: greatest F1, then closest to the default, then the higher one."""
+    r = random.Random(seed)
+    data = [(r.randrange(2), r.randrange(12) / 8 - 0.5) for _ in range(60)]
+    default = r.choice([0.0, 0.3])
+
+    def f1(t):
+        tp = sum(y and x >= t for y, x in data)
+        return 2 * tp / (sum(y for y, _ in data) + sum(x >= t for _, x in data))
+
+    want = max({x for _, x in data} | {default}, key=lambda t: (round(f1(t), 12), -abs(t - default), t))
+    got = metrics.select_threshold(spark.createDataFrame(data, "target int, score double"), default).first()
+    assert (got["threshold"], got["f1"]) == pytest.approx((want, f1(want)))
 
 
 def test_fixed_threshold_and_bad_rows(spark):
@@ -311,9 +320,50 @@ def control_rows(spark, delta, seeds=range(5)):
     return spark.createDataFrame(data, "split string, stratification_axis string, control_selection_context_sha256 string, model_name string, split_strategy string, split_seed int, auprc double")
 
 
-@pytest.mark.parametrize(("delta", "seeds", "want"), [(0.03, range(5), "degree_hgb"), (0.02, range(5), "degree_logistic"), (0.03, range(4), "degree_logistic")])
-def test_control_selection(spark, delta, seeds, want):
-    assert summaries.select_control(control_rows(spark, delta, seeds)).first()["selected_control"] == want
+@pytest.mark.parametrize("n_seeds", [4, 5])
+@pytest.mark.parametrize("above", [-0.011, -0.004, 0.0, 0.004, 0.011])
+def test_control_selection(spark, n_seeds, above):
+    """The other control is taken only above the limit and with all seeds."""
+    want = "degree_hgb" if n_seeds == len(summaries.CONTROL_SEEDS) and above > 0 else "degree_logistic"
+    found = summaries.select_control(control_rows(spark, summaries.LEAST_MEDIAN_GAIN + above, range(n_seeds)))
+    assert found.first()["selected_control"] == want
+
+
+@pytest.mark.parametrize("target", [1, 7, 100, 333, 500])
+def test_allocation_of_tables_is_that_of_the_driver(spark, target):
+    r = random.Random(target)
+    weights = {f"s{i:02d}": r.randrange(1, 40) for i in range(30)}
+    capacities = {k: r.randrange(0, 40) for k in weights}
+    if sum(capacities.values()) < target:
+        return
+    df = spark.createDataFrame([(k, weights[k], capacities[k]) for k in weights], "stratum string, weight bigint, capacity bigint")
+    got = {x["stratum"]: x["given"] for x in sampling.allocate_rows(df, target).collect()}
+    assert got == sampling.allocate(weights, capacities, target)
+
+
+def test_negatives_of_many_strata(spark, monkeypatch):
+    """The way for very many pairs of taxa draws the same pairs."""
+    r = random.Random(4)
+    pairs = [(f"p{r.randrange(40)}", f"p{r.randrange(40)}") for _ in range(80)]
+    df = spark.createDataFrame([(a, b, 1) for a, b in pairs if a != b], "protein_a string, protein_b string, label int")
+    known = spark.createDataFrame([(f"p{i}", f"t{i % 3}") for i in range(40)], "protein_id string, taxon_id string")
+    spec = sampling.NegativeSpec("taxon_pair_matched", 1.5, 3)
+    one = sorted(map(tuple, sampling.sample_negatives(df, spec, known).collect()))
+    monkeypatch.setattr(sampling, "DRIVER_STRATA", 0)
+    assert sorted(map(tuple, sampling.sample_negatives(df, spec, known).collect())) == one and one
+
+
+def test_ties_of_the_order_are_broken(spark):
+    rows = spark.createDataFrame([(1.0, i, 1) for i in range(50)] + [(2.0, i, 1) for i in range(50)], "u double, i int, n int").repartition(5)
+    got = {(r["u"], r["i"]): r["upto"] for r in ordering.running_sums(rows, [], "u", {"upto": "n"}, descending=False, slices=4, ties=["i"]).collect()}
+    assert got == {(float(1 + k // 50), k % 50): k + 1 for k in range(100)}
+
+
+@pytest.mark.parametrize("top", [0, 100])
+def test_first_rows(spark, top):
+    rows = spark.createDataFrame([(i * 37 % 101,) for i in range(101)], "v int").repartition(4)
+    assert sorted(r[0] for r in ordering.first_rows(rows, ["v"], 20, top).collect()) == list(range(20))
+    assert ordering.first_rows(rows.limit(0), ["v"], 20, top).count() == 0
 
 
 def lift_rows(spark, **change):

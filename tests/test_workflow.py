@@ -212,6 +212,18 @@ def test_prepare_train_aggregate(spark, toy_files):
     folder = grid.run_grid(spark, config)
     assert len(runs.run_directories(str(folder))) == 4
     assert (folder / "summary.csv").is_file() and (folder / "degree_summary.csv").is_file() and (folder / "train_val_f1.csv").is_file()
+    lift = tables.read_table(spark, str(folder / "degree_lift.csv")).collect()
+    assert {(r["model_name"], r["split_strategy"], r["split"]) for r in lift} == {("logistic", "random", "val"), ("logistic", "c1", "val")}
+    for r in lift:
+        assert float(r["absolute_lift"]) == pytest.approx(float(r["model_auprc"]) - float(r["degree_control_auprc"]))
+    assert list(json.loads((folder / "selected_controls.json").read_text()).values()) == ["degree_logistic"]
+    control = folder / "runs/random/split_seed_0/controls/val_degree_metrics.csv"
+    text = control.read_text()
+    digest = lift[0]["training_examples_sha256"] if lift[0]["split_strategy"] == "random" else lift[1]["training_examples_sha256"]
+    control.write_text(text.replace(digest, "0" * 64))
+    with pytest.raises(ConstraintError, match="refused lift"):  # behind a changed gate
+        grid.aggregate(spark, str(folder))
+    control.write_text(text)
     with pytest.raises(ConstraintError):
         grid.run_grid(spark, config)
     a = str(folder / "runs/random/split_seed_0/controls")
