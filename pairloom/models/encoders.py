@@ -33,12 +33,12 @@ class EncoderSpec:
     model: str
     revision: str | None
     dimension: int
-    pooling: str = "mean"
+    pooling: str = "mean"  # the only one there is
     precision: str = "float32"
     max_residues: int | None = None
 
     def __post_init__(self) -> None:
-        if self.pooling not in ("mean", "cls") or self.precision not in ("float32", "float16") or self.dimension < 1:
+        if self.pooling != "mean" or self.precision not in ("float32", "float16") or self.dimension < 1:
             raise ConstraintError(f"bad encoder {self}")
 
     @property

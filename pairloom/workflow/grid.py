@@ -37,10 +37,11 @@ class GridConfig:
     fasta: str
     out_dir: str
     run_name: str
-    profile: str = "laptop"
+    profile: str = "exhaustive"
     protein_metadata: str | None = None
     sequence_clusters: str | None = None
     max_pairs: int | None = None
+    full_cohort: bool = False
     sampling_seed: int = 0
     train_size: float = 0.8
     val_size: float = 0.1
@@ -117,8 +118,13 @@ def resolve(options: Mapping[str, object], config: str | None = None) -> GridCon
     if unknown:
         raise ConstraintError(f"unknown options {sorted(unknown)}")
     merged = file | {k: v for k, v in options.items() if v is not None}
-    profile = str(merged.get("profile", "laptop"))
+    profile = str(merged.get("profile", "exhaustive"))
     merged = PROFILES.get(profile, {}) | merged
+    if merged.get("full_cohort"):  # all pairs, unless the caller asks for a number of them
+        if options.get("max_pairs") is None:
+            merged["max_pairs"] = None
+        else:
+            merged["full_cohort"] = False
     whole = ("max_pairs", "sampling_seed", "n_split_trials", "k", "max_iter")
     for name, value in merged.items():
         if name in whole and value is not None:

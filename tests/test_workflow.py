@@ -152,9 +152,12 @@ def test_grid_options(tmp_path):
     base = {"pairs": "p.csv", "fasta": "f", "out_dir": "o", "run_name": "r"}
     path = tmp_path / "g.toml"
     path.write_text('[grid]\npairs = "x.csv"\nfasta = "f"\nout_dir = "o"\nrun_name = "n"\nmax_pairs = 50.0\nsplit_seeds = [0, 1]\n')
-    config = grid.resolve({"pairs": "mine.csv"}, str(path))
+    config = grid.resolve({"pairs": "mine.csv", "profile": "laptop"}, str(path))
     assert config.pairs == "mine.csv" and config.max_pairs == 50 and config.n_split_trials == 25
     assert len(grid.cells(config)) == 4 * 2 * (1 + 2)
+    whole = grid.resolve({"full_cohort": True}, str(path))  # the exhaustive profile is the default
+    assert whole.max_pairs is None and whole.n_split_trials == 100 and len(grid.cells(whole)) == 4 * 2 * (1 + 5)
+    assert grid.resolve({"full_cohort": True, "max_pairs": 7}, str(path)).max_pairs == 7
     path.write_text('[grid]\npairs = "x.csv"\nfasta = "f"\nout_dir = "o"\nrun_name = "n"\nmax_pairs = 50.5\n')
     for bad in ({"config": str(path)}, {"options": base | {"run_name": "a/b"}}, {"options": base | {"classifiers": ()}}, {"options": base | {"sequence_clusters": "c"}}, {"options": base | {"profile": "x"}}):
         with pytest.raises(ConstraintError):
