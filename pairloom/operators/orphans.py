@@ -6,11 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ..session import materialize
-from .skew import hot_keys, lookup
+from ..session import discard, materialize, materialize_in_turn
 
-#: A filter up to this size (2**27 bits are 16 MB) is broadcast; a larger one stays cut into chunks of words by the hash
-#: of the key and meets the references in a shuffle by chunk. Either way a key has 16 bits, so what passes stays rare.
+#: A filter up to this size (2**27 bits are 16 MB) is broadcast; a larger one is cut by the hash of the key into slices of
+#: that size, which are broadcast one after the other. Either way a key has 16 bits, so what passes stays rare.
 BROADCAST_BITS = 2**27
 BITS_PER_KEY = 16
 _CHUNK = 1024
@@ -38,6 +37,8 @@ class BloomFilter:
         wanted = max(BITS_PER_KEY * n_parents, 64 * _CHUNK)
         self.n_words = 1 << ((wanted // 64) - 1).bit_length()
         self.small = self.n_words * 64 <= broadcast_bits
+        self._slice_bits = max(0, (broadcast_bits // (64 * _CHUNK)).bit_length() - 1)  # a slice has 2 ** _slice_bits chunks
+        self.n_slices = 1 if self.small else max(1, self.n_words // _CHUNK >> self._slice_bits)
         spark = parents.sparkSession
         words = (
             parents.filter(F.col(key).isNotNull())
@@ -51,20 +52,35 @@ class BloomFilter:
             .agg(F.sort_array(F.collect_list(F.struct("word", "mask"))).alias("w"))
             .select("__chunk", F.transform("w", lambda x: x["mask"]).alias("__words"))
         )
+        if not self.small:
+            self.table = materialize(self._sliced(self.table), "filter", by="__slice")
+
+    def _sliced(self, rows: DataFrame) -> DataFrame:
+        return rows.withColumn("__slice", F.shiftright("__chunk", self._slice_bits).cast("int"))
 
     def probe(self, rows: DataFrame, key: str, flag: str) -> DataFrame:
-        """``rows`` with ``flag``: false proves that the key has no parent. A null key is false."""
+        """``rows`` with ``flag``: false proves that the key has no parent. A null key is false.
+
+        The rows of a large filter are written by slice and meet one broadcast slice at a time. They are never shuffled,
+        so no word is repeated for a row, and it doesn't matter how many rows a key has.
+        """
         chunk = F.coalesce(F.shiftright(_word(F.col(key), self.n_words), 10), F.lit(0))
         mask = _mask(F.col(key))
         held = F.get("__words", _word(F.col(key), self.n_words).bitwiseAND(F.lit(_CHUNK - 1)).cast("int"))
-        rows_of = rows.withColumn("__chunk", chunk)
-        if self.small:
-            joined = rows_of.join(F.broadcast(self.table), "__chunk")
-        else:
-            rows_of = materialize(rows_of, "filter-refs")
-            joined = lookup(rows_of, self.table, "__chunk", ["__words"], hot_keys(rows_of, "__chunk", rows_of.count()))
         hit = F.col(key).isNotNull() & (held.bitwiseAND(mask) == mask)
-        return joined.select(*rows.columns, hit.alias(flag))
+        meet = lambda part, table: part.join(F.broadcast(table), "__chunk").select(*rows.columns, hit.alias(flag))
+        refs = rows.withColumn("__chunk", chunk)
+        if self.small:
+            return meet(refs, self.table)
+        refs = materialize(self._sliced(refs), "filter-refs", by="__slice")
+        of = lambda table, i: table.filter(F.col("__slice") == i).drop("__slice")
+        out = materialize_in_turn((meet(of(refs, i), of(self.table, i)) for i in range(self.n_slices)), "filtered-refs")
+        discard(refs)
+        return out
+
+    def discard(self) -> None:
+        """Delete what a large filter keeps on disk, once nothing probes it any more."""
+        discard(self.table)
 
 
 def orphan_keys(refs: DataFrame, parents: DataFrame, key: str, n_parents: int) -> DataFrame:
@@ -74,6 +90,7 @@ def orphan_keys(refs: DataFrame, parents: DataFrame, key: str, n_parents: int) -
     """
     bloom = BloomFilter(parents, key, n_parents)
     probed = bloom.probe(refs.filter(F.col(key).isNotNull()), key, "__maybe")
+    bloom.discard()
     sure = probed.filter(~F.col("__maybe")).drop("__maybe")
     maybe = probed.filter("__maybe").drop("__maybe")
     return sure.unionByName(maybe.join(parents.select(key).distinct(), key, "left_anti").select(*sure.columns))
@@ -106,7 +123,10 @@ def temporal_orphans(
         F.col(key).isNotNull() & F.col(start).isNotNull() & (F.col(end).isNull() | (F.col(end) > F.col(start)))
     )
     bloom = BloomFilter(live, key, n_parents)
-    probed = materialize(bloom.probe(refs.filter(F.col(key).isNotNull()), key, "__maybe"), "orphan-refs")
+    probed = bloom.probe(refs.filter(F.col(key).isNotNull()), key, "__maybe")
+    if bloom.small:  # else they are written already
+        probed = materialize(probed, "orphan-refs")
+    bloom.discard()
     may_live = F.col("__maybe") & F.col(at).isNotNull()
     sure = probed.filter(~may_live).drop("__maybe")
     maybe = probed.filter(may_live).drop("__maybe")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -44,19 +45,38 @@ def checkpoint_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` below the checkpoint folder and read it back.
+def _path(spark: SparkSession, label: str) -> str:
+    return f"{checkpoint_root(spark)}/pairloom-{os.getpid()}-{uuid.uuid4().hex[:12]}-{label}"
 
-    Cuts the lineage, survives the loss of executors, and lets several consumers share one computation.
-    """
-    spark = df.sparkSession
-    path = f"{checkpoint_root(spark)}/pairloom-{os.getpid()}-{uuid.uuid4().hex[:12]}-{label}"
-    df.write.mode("errorifexists").parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
+
+def _read(spark: SparkSession, schema, path: str) -> DataFrame:
+    out = spark.read.schema(schema).parquet(path)
     out._pairloom_path = path
     return out
 
 
+def materialize(df: DataFrame, label: str, by: str | None = None) -> DataFrame:
+    """Write ``df`` below the checkpoint folder and read it back.
+
+    Cuts the lineage, survives the loss of executors, and lets several consumers share one computation. The rows of each
+    value of ``by``, the last column, get a folder of their own, so a filter on it reads no others.
+    """
+    path = _path(df.sparkSession, label)
+    writer = df.write.mode("errorifexists")
+    (writer.partitionBy(by) if by else writer).parquet(path)
+    return _read(df.sparkSession, df.schema, path)
+
+
+def materialize_in_turn(parts: Iterable[DataFrame], label: str) -> DataFrame:
+    """The union of ``parts``, of one schema, written like :func:`materialize` but one part after the other, so that what
+    a part broadcasts is not held together with that of the others."""
+    path = ""
+    for part in parts:
+        path = path or _path(part.sparkSession, label)
+        part.write.mode("append").parquet(path)
+    return _read(part.sparkSession, part.schema, path)
+
+
 def discard(df: DataFrame) -> None:
     """Delete a table written by :func:`materialize` that nothing reads any more."""
     path = getattr(df, "_pairloom_path", None)

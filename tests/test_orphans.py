@@ -1,11 +1,15 @@
 """Orphan references against brute force: hot keys, hot parents, ties at interval ends, nulls."""
 
 import datetime as dt
+import functools
+import os
 import random
 
 import pytest
 
+from pairloom.operators import orphans
 from pairloom.operators.orphans import BloomFilter, orphan_keys, temporal_orphans
+from pairloom.session import checkpoint_root
 
 DAY = dt.timedelta(days=1)
 START = dt.datetime(2024, 1, 1)
@@ -61,3 +65,45 @@ def test_empty(spark):
     one = spark.createDataFrame([(1, "a", START)], "id bigint, k string, at timestamp_ntz")
     assert temporal_orphans(none, pf, "k", "at", "s", "e", 0, 0).count() == 0
     assert temporal_orphans(one, pf, "k", "at", "s", "e", 0, 1).count() == 1
+
+
+def on_disk(spark):
+    """Bytes of the session's shuffle files and of its checkpoint folder."""
+    env = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get()
+    local = [d.getPath() for d in env.blockManager().diskBlockManager().localDirs()]
+    found = (os.path.join(at, f) for top in [*local, checkpoint_root(spark).removeprefix("file://")] for at, _, files in os.walk(top) for f in files)
+    return sum(os.path.getsize(f) for f in found if os.path.exists(f))
+
+
+def test_a_large_filter_is_not_repeated_on_disk(spark):
+    """Rows of a hot key used to carry a chunk of 8 KB each through a shuffle."""
+    parents = spark.createDataFrame([(2 * i,) for i in range(20_000)], "k bigint").repartition(3)
+    refs = spark.range(60_000).selectExpr("if(id % 3 = 0, id, 2) as k").repartition(4)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as for filters that are large indeed
+    try:
+        before = on_disk(spark)
+        bloom = BloomFilter(parents, "k", 20_000, 0)
+        assert not bloom.small
+        counted = bloom.probe(refs, "k", "maybe").groupBy("maybe").count()  # while it is held, so are its shuffle files
+        n = {r["maybe"]: r["count"] for r in counted.collect()}
+        assert n[True] >= 46_667 and n[True] + n[False] == 60_000
+        assert on_disk(spark) - before < 8e6
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    bloom.discard()
+
+
+def test_large_filters_give_the_same_orphans(spark, monkeypatch):
+    monkeypatch.setattr(orphans, "BloomFilter", functools.partial(BloomFilter, broadcast_bits=2**17))
+    parents = [(f"p{i}", START, START + DAY if i % 5 == 0 else None) for i in range(0, 30_000, 2)]
+    refs = [(i, "p0" if i % 4 == 0 else f"p{i}", START + DAY * (i % 3)) for i in range(20_000)] + [(-1, None, START), (-2, "p2", None)]
+    df = spark.createDataFrame(refs, "id bigint, k string, at timestamp_ntz").repartition(5)
+    pf = spark.createDataFrame(parents, "k string, s timestamp_ntz, e timestamp_ntz").repartition(3)
+    assert orphans.BloomFilter(pf, "k", len(parents)).n_slices > 1
+    end = {k: e for k, _, e in parents}
+    lives = lambda k, t: t is not None and k in end and (end[k] is None or end[k] > t)
+    got = temporal_orphans(df, pf, "k", "at", "s", "e", len(parents), len(refs))
+    assert sorted(r["id"] for r in got.collect()) == sorted(i for i, k, t in refs if k is not None and not lives(k, t))
+    got = orphan_keys(df.select("k"), pf.select("k"), "k", len(parents))
+    assert sorted(r["k"] for r in got.collect()) == sorted(k for _, k, _ in refs if k is not None and k not in end)
+    assert temporal_orphans(df.limit(0), pf, "k", "at", "s", "e", len(parents), 0).count() == 0
